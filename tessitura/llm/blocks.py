@@ -221,20 +221,21 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.append(begins, len(sorted_keys)))
 
 
-def distinct_in_doc(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, hash) without repeats, by document and then hash."""
-    if not len(h):
-        return doc.astype(np.int32), h
-    order = np.lexsort((h, doc)) if n_docs > 1 else np.argsort(h)
-    doc, h = doc[order], h[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return doc[keep].astype(np.int32), h[keep]
+def sorted_sets(bounds: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each slice x[bounds[i]:bounds[i + 1]] in order, and their bounds."""
+    x = x.copy()
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        x[a:b].sort()
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    keep[bounds[:-1][bounds[:-1] < len(x)]] = True
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return before[bounds], x[keep]
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 16, most: int = 100_000) -> int:
     """A number of buckets in proportion to the size that the planner knows of df."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, min(most, size // bytes_each))
 
 

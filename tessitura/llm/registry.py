@@ -1,9 +1,11 @@
 """The queries of this subpackage and the SQL that answers them."""
 
+from tessitura.llm.jaccard_join import op1_jaccard_join
 from tessitura.llm.mixing import OP10_SQL, op10_mix_sources
 from tessitura.llm.sharding import op9_shard
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op9_shard": op9_shard,
     "op10_mix_sources": op10_mix_sources,
 }
