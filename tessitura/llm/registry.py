@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL that answers them."""
 
 from tessitura.llm.jaccard_join import op1_jaccard_join
+from tessitura.llm.language_id import op5_language_id
 from tessitura.llm.mixing import OP10_SQL, op10_mix_sources
 from tessitura.llm.quality import op4_quality_rules
 from tessitura.llm.sharding import op9_shard
@@ -9,6 +10,7 @@ from tessitura.llm.token_files import op6_token_files
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op9_shard": op9_shard,
     "op10_mix_sources": op10_mix_sources,
