@@ -3,6 +3,7 @@
 from tessitura.llm.jaccard_join import op1_jaccard_join
 from tessitura.llm.language_id import op5_language_id
 from tessitura.llm.mixing import OP10_SQL, op10_mix_sources
+from tessitura.llm.pii import op7_personal_data
 from tessitura.llm.quality import op4_quality_rules
 from tessitura.llm.sharding import op9_shard
 from tessitura.llm.token_files import op6_token_files
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
+    "op7_personal_data": op7_personal_data,
     "op9_shard": op9_shard,
     "op10_mix_sources": op10_mix_sources,
 }
