@@ -11,9 +11,10 @@ Documents whose sets of distinct word 3-grams have Jaccard similarity of at leas
    n - ceil(t n) + l ones.  A second scan gives each document its fingerprint and
    this prefix.  Documents with equal sets become one class.
 3. *Groups.*  Classes with one size and one prefix become one group; only groups are
-   indexed.  For each prefix n-gram the groups that hold it meet.  A group in which
-   fewer than l of them are shared cannot link to another group.  Of the rest, those
-   that share one of their first (shared - l + 1) n-grams come into one family.
+   indexed.  For each prefix n-gram the groups that hold it are counted.  A group in
+   which fewer than l of them are shared cannot link to another group.  Two of the rest
+   that link share one of their first (shared - l + 1) n-grams, the ones in fewest
+   groups first; all groups that do so come into one family.
 4. *Verify.*  The families are expanded to their classes, whose whole sets are read.
    A family is cut into blocks of bounded size and each pair of blocks is one unit of
    work: pairs of groups of fitting sizes are counted exactly by a matrix product over
@@ -21,9 +22,8 @@ Documents whose sets of distinct word 3-grams have Jaccard similarity of at leas
    links each class has, never all pairs.
 5. Connected components of the links give the result.
 
-Sizes: the sketch is 4 MB whatever the corpus; what a common n-gram sends to one task
-is one record for each chunk of text and not for each document, as chunks link their
-own groups first.  Within a group of near copies the number of comparisons is the
+Sizes: the sketch is 4 MB whatever the corpus; a common n-gram sends
+to one task at most COMMON records for each batch of groups.  Within a group of near copies the number of comparisons is the
 square of its distinct texts, spread over block pairs.
 
 Defined results: a null or wordless text has an empty set and links to nothing; a document
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,9 @@ from tessitura.llm.components import connected_components, forest
 U = np.uint64
 SKETCH_BITS = 20
 SKETCH_SLICE = 1 << 14
-BLOCK = 384  # classes in a block of a family
+COMMON = 64  # groups from which on an n-gram is just a common one
+BLOCK = 1024  # classes in a block of a family
+BLOCK_GRAMS = 1_000_000  # n-grams in a block of a family
 SLICE = 2048  # n-grams in a slice of the matrix product
 
 
@@ -57,7 +60,7 @@ def ceil_share(n, num: int, den: int):
 
 def least_shared(n):
     """l for a set of n: a longer prefix lets more sets be ruled out."""
-    return np.maximum(1, n // 20)
+    return np.maximum(1, n // 10)
 
 
 def grams(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def fingerprints(bounds: np.ndarray, keys: np.ndarray) -> list[bytes | None]:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, classes) -> DataFrame:
-    """doc_id, n, set_id and prefix of each document."""
+    """doc_id, n, set_id, prefix_id and prefix of each document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -136,36 +139,40 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, classes) -> DataFram
             length[den * n < num * (n + 1)] = 0  # so small that it links to equal sets only
             prefixes = [keys[a : a + m].tobytes() for a, m in zip(bounds[:-1].tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fingerprints(bounds, keys), pa.binary()), pa.array(prefixes, pa.binary())],
-                ["doc_id", "n", "set_id", "prefix"],
+                [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fingerprints(bounds, keys), pa.binary()), pa.array([xxhash.xxh3_128_digest(p) if p else None for p in prefixes], pa.binary()), pa.array(prefixes, pa.binary())],
+                ["doc_id", "n", "set_id", "prefix_id", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, set_id binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, set_id binary, prefix_id binary, prefix binary")
 
 
 def shared_grams(groups: DataFrame, n: int) -> DataFrame:
-    """groups(gid, n, prefix) to packed (gid, n, token, hub): each prefix n-gram of a group that another one has too.
+    """groups(gid, n, prefix) to packed (gid, size, token, groups): each prefix n-gram of a group that another one has too.
 
-    hub: the smallest group known to have it.  A batch links its own groups, and sends
-    on one record for each n-gram, so that no task gets all groups of a common one.
+    ``groups`` is in how many it is, COMMON + 1 at most.  Where a batch has more than
+    COMMON groups for an n-gram, the number is known at once, and one record is sent to
+    tell the other batches.
     """
+    columns = {"gid": "<i8", "size": "<i4", "token": "<u8", "groups": "u1"}
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefixes = batch.column(2)
             lengths = np.array([len(p.as_buffer()) // 8 for p in prefixes], np.int64)
-            token = np.concatenate([np.zeros(0, U), *(np.frombuffer(p.as_buffer(), U) for p in prefixes)])
-            gid = np.repeat(batch.column(0).to_numpy(), lengths)
-            size = np.repeat(batch.column(1).to_numpy(), lengths).astype(np.int32)
-            order = np.lexsort((gid, token))
-            token, gid, size = token[order], gid[order], size[order]
-            begins, counts = runs(token)
-            if not len(begins):
+            x = {"gid": np.repeat(batch.column(0).to_numpy(), lengths), "size": np.repeat(batch.column(1).to_numpy(), lengths).astype(np.int32)}
+            x["token"] = np.concatenate([np.zeros(0, U), *(np.frombuffer(p.as_buffer(), U) for p in prefixes)])
+            if not len(x["token"]):
                 continue
-            posts = scatter(token[begins], {"token": token[begins], "gid": gid[begins], "size": size[begins]}, n)
-            hub, many = np.repeat(gid[begins], counts), np.repeat(counts, counts) > 1
-            own = scatter(gid[many].view(U), {"gid": gid[many], "size": size[many], "token": token[many], "hub": hub[many]}, n)
-            for kind, rows in ((0, posts), (1, own)):
+            order = np.argsort(x["token"], kind="stable")
+            x = {c: v[order] for c, v in x.items()}
+            begins, counts = runs(x["token"])
+            common = np.repeat(counts, counts) > COMMON
+            x["groups"] = np.where(common, COMMON + 1, 1).astype(np.uint8)
+            sent = ~common
+            sent[begins] = True
+            for kind, use in ((0, sent), (1, common)):
+                key = x["token"] if kind == 0 else x["gid"].view(U)
+                rows = scatter(key[use], {c: v[use] for c, v in x.items()}, n)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * rows.num_rows, pa.int32()), *rows.columns], ["kind", "bucket", "payload"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,36 +183,36 @@ def shared_grams(groups: DataFrame, n: int) -> DataFrame:
             if own.num_rows:
                 yield own
             posts.append(batch.filter(pa.array(kind == 0)))
-        x = gather(posts, {"token": "<u8", "gid": "<i8", "size": "<i4"})
-        order = np.lexsort((x["gid"], x["token"]))
-        token, gid, size = (x[c][order] for c in ("token", "gid", "size"))
-        begins, counts = runs(token)
-        many, hub = np.repeat(counts, counts) > 1, np.repeat(gid[begins], counts)
-        if many.any():
-            yield scatter(gid[many].view(U), {"gid": gid[many], "size": size[many], "token": token[many], "hub": hub[many]}, n)
+        x = gather(posts, columns)
+        order = np.argsort(x["token"], kind="stable")
+        x = {c: v[order] for c, v in x.items()}
+        begins, counts = runs(x["token"])
+        if not len(begins):
+            return
+        told = np.repeat(np.maximum(np.maximum.reduceat(x["groups"], begins), np.minimum(counts, COMMON + 1)), counts).astype(np.uint8)
+        use = (told > 1) & (x["groups"] == 1)  # the others know already
+        x["groups"] = told
+        if use.any():
+            yield scatter(x["gid"][use].view(U), {c: v[use] for c, v in x.items()}, n)
 
     return groups.select("gid", "n", "prefix").mapInArrow(post, f"kind int, {PACKED}").repartition(n, "bucket").mapInArrow(meet, PACKED)
 
 
 def family_links(shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b) for each group a that shares enough of its prefix to link to another group at all."""
+    """(a, b): each group that shares enough of its prefix to link to another one at all, and a negative number for each n-gram by which it could."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = gather(batches, {"gid": "<i8", "size": "<i4", "token": "<u8", "hub": "<i8"})
-        order = np.lexsort((x["token"], x["gid"]))
-        gid, size, token, hub = (x[c][order] for c in ("gid", "size", "token", "hub"))
+        x = gather(batches, {"gid": "<i8", "size": "<i4", "token": "<u8", "groups": "u1"})
+        order = np.lexsort((x["token"], x["groups"], x["gid"]))
+        gid, size, token = (x[c][order] for c in ("gid", "size", "token"))
         if not len(gid):
             return
         begins, counts = runs(gid)
-        new = np.ones(len(gid), np.int64)
-        new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-        place = np.cumsum(new)
-        place -= np.repeat(place[begins], counts) - 1  # 1 for the first n-gram of a group
-        have = np.repeat(place[begins + counts - 1], counts)
+        place = np.arange(len(gid)) - np.repeat(begins, counts) + 1
+        have = np.repeat(counts, counts)
         need = least_shared(ceil_share(size.astype(np.int64), num, den))
         keep = (have >= need) & (place <= have - need + 1)
-        pairs = np.unique(np.stack([gid[keep], hub[keep]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(gid[keep]), pa.array(-(token[keep] >> U(1)).astype(np.int64) - 1)], ["a", "b"])
 
     return shared.repartition(n, "bucket").mapInArrow(link, "a long, b long")
 
@@ -213,7 +220,11 @@ def family_links(shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
 def count_overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """The sizes of all intersections, by a matrix product over slices of the n-grams that both sides have."""
     a, b = np.concatenate(left), np.concatenate(right)
-    common = np.intersect1d(a, b)
+    if left is right:
+        common, times = np.unique(a, return_counts=True)
+        common = common[times > 1]
+    else:
+        common = np.intersect1d(a, b)
     out = np.zeros((len(left), len(right)), np.float32)
     ra, rb = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
     ca, cb = np.searchsorted(common, a), np.searchsorted(common, b)
@@ -256,7 +267,12 @@ def verify_unit(rows: dict[str, list], num: int, den: int) -> tuple[np.ndarray,
     if not len(use[0]):
         return none, none, none, none
     left, right, fits = left[use[0]], right[use[1]], fits[np.ix_(*use)]
-    both = count_overlaps([sets[i] for i in left], [sets[i] for i in right])
+    ours = [sets[i] for i in left]
+    if np.array_equal(left, right):
+        both = count_overlaps(ours, ours)
+        both[np.diag_indices(len(left))] = 0
+    else:
+        both = count_overlaps(ours, [sets[i] for i in right])
     linked = fits & (den * both >= num * (n[left][:, None] + n[right][None, :] - both))
     i, j = np.nonzero(linked)
     a, b = forest(rep[left][i], rep[right][j])
@@ -326,19 +342,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10)
     order = spark.sparkContext.broadcast(size_classes(sketch(docs, k)))
     signed = kept(signatures(docs, k, num, den, order), "signatures")
     classes = signed.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix_id").alias("prefix_id")
     )
-    classes = kept(classes.withColumn("prefix_id", F.unhex(F.md5("prefix"))), "classes")
-    keyed = classes.where("length(prefix) > 0")
-    groups = keyed.groupBy("n", "prefix_id").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
-    links = family_links(shared_grams(groups, parts), parts, num, den)
+    classes = kept(classes, "classes")
+    keyed = classes.where("prefix_id is not null")
+    groups = kept(keyed.groupBy("n", "prefix_id").agg(F.min_by("set_id", "rep").alias("set_id"), F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
+    prefixes = signed.select(F.col("doc_id").alias("gid"), "set_id", "n", "prefix").join(groups.select("gid", "set_id"), ["gid", "set_id"])
+    links = family_links(shared_grams(prefixes, parts), parts, num, den)
     links = kept(links.unionByName(groups.where("members > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))), "families")
     families = connected_components(links)
     grouped = keyed.select("rep", "set_id", "copies", "n", "prefix_id").join(groups.select("n", "prefix_id", "gid"), ["n", "prefix_id"])
     alive = links.select(F.col("a").alias("gid")).distinct().join(families.withColumnRenamed("node", "gid"), "gid", "left")
-    candidates = kept(grouped.join(alive, "gid").select("rep", "set_id", "copies", F.coalesce("component", "gid").alias("family")), "candidates")
-    sizes = candidates.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("family", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    found = kept(verified(candidates.join(sizes, "family"), docs, k, num, den, order, parts), "links")
+    candidates = kept(grouped.join(alive, "gid").select("rep", "set_id", "copies", "n", F.coalesce("component", "gid").alias("family")), "candidates")
+    sizes = candidates.groupBy("family").agg(F.count(F.lit(1)).alias("_n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")).where("_n > 1").drop("_n")
+    found = kept(verified(candidates.drop("n").join(sizes, "family"), docs, k, num, den, order, parts), "links")
     components = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     by_class = (
