@@ -6,10 +6,12 @@ from tessitura.llm.mixing import OP10_SQL, op10_mix_sources
 from tessitura.llm.pii import op7_personal_data
 from tessitura.llm.quality import op4_quality_rules
 from tessitura.llm.sharding import op9_shard
+from tessitura.llm.substring_dedup import op2_substring_dedup
 from tessitura.llm.token_files import op6_token_files
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
