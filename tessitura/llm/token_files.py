@@ -10,9 +10,9 @@ Fixed values of the public seekable format: skippable magic 0x184D2A5E, footer m
 0x8F92EAB1, the checksum flag 0x80, and as checksum the low 32 bits of XXH64.  The
 index has a skippable magic of its own, 0x184D2A50.
 
-Texts are tokenised by the public library, a white-space separated piece at a time: the
-tokenizer splits at white space and drops it, so that pieces can be encoded once and
-looked up again.  Ids go into the file in ascending doc_id order; files hold ranges of
+Texts are tokenised by the public library.  A tokenizer that lower-cases, splits at white
+space and drops it is asked a piece at a time, so that a piece is encoded once and looked
+up again; any other one gets whole texts.  Ids go into the file in ascending doc_id order; files hold ranges of
 doc_id and their names sort as these.  A file is written under another name and moved
 into place, so a task that runs again replaces what it had written.
 
@@ -23,6 +23,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -37,13 +39,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.blocks import buckets_for, chunks, shared_folder, tokenise
+from tessitura.llm.blocks import Words, buckets_for, chunks, shared_folder, tokenise
 
 SKIPPABLE_SEEK, SKIPPABLE_INDEX = 0x184D2A5E, 0x184D2A50
 FOOTER, CHECKSUM_FLAG = 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 20
 LEVEL = 3
-CACHE = 200_000  # pieces whose ids a worker keeps
+CACHE = 1_500_000  # pieces whose ids a worker keeps, 20 bytes each or so
 END_ID = 2
 
 
@@ -139,39 +141,157 @@ class SeekableReader:
         return list(range(int(a), int(b)))
 
 
-class PieceEncoder:
-    """Ids of texts, by the ids of their white-space separated pieces."""
+#: What a tokenizer must do before its model for texts to be encoded by pieces: fixed values of the public file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: Lower-case words of letters up to U+00FF: neither normalised nor split.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: The byte-level alphabet: a printable byte is its own character, the others follow from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def pieces(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    """Words cut further where ASCII letters meet other ASCII characters, and a hash of each piece.
+
+    A word with an apostrophe or ``<|`` is one piece, and its case counts: it may hold
+    a contraction or a special token.
+    """
+    w = tokenise(texts)
+    raw = w.raw
+    n = len(raw)
+    odd = np.zeros(n, bool)
+    odd[raw == 39] = True
+    odd[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)
+    sums = np.concatenate([[0], np.cumsum(odd)])
+    special = sums[w.ends] > sums[w.starts]
+    inside = np.zeros(n + 1, np.int8)  # 1 from the second byte of a word that may be cut
+    inside[w.starts[~special] + 1] += 1
+    inside[w.ends[~special]] -= 1
+    letter = _LETTER[raw]
+    cut = np.zeros(n, bool)
+    cut[1:] = (letter[1:] != letter[:-1]) & (raw[1:] < 128) & (raw[:-1] < 128)
+    cuts = np.flatnonzero(cut & (np.cumsum(inside[:-1]) > 0))
+    starts, ends = np.sort(np.concatenate([w.starts, cuts])), np.sort(np.concatenate([w.ends, cuts]))
+    first = np.searchsorted(starts, w.offsets)
+    own = Words(raw, w.offsets, starts, ends, np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first)), first)
+    h = own.hashes(fold=True)
+    if special.any():
+        k = np.searchsorted(starts, w.starts[special])
+        h[k] = w.hashes(fold=False)[special] ^ np.uint64(0x5DEECE66D)
+    return own, h
+
+
+class IdCache:
+    """Ids of pieces by their hashes, in flat arrays: about 20 bytes for each piece."""
+
+    def __init__(self):
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)) for _ in range(2)]
+
+    def missing(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for known, *_ in self.levels:
+            if len(known):
+                out &= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
+        return out
+
+    def add(self, h: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        """h ascends and holds nothing that is known."""
+        if sum(len(x[0]) for x in self.levels) + len(h) > CACHE:
+            self.__init__()
+        self.levels[1] = self._merge(self.levels[1], (h, np.cumsum(lengths) - lengths, lengths, flat))
+        if len(self.levels[1][0]) > 20_000 + len(self.levels[0][0]) // 4:
+            self.levels = [self._merge(*self.levels), (h[:0], lengths[:0], lengths[:0], flat[:0])]
+
+    @staticmethod
+    def _merge(a, b):
+        h = np.concatenate([a[0], b[0]])
+        order = np.argsort(h, kind="stable")
+        return h[order], np.concatenate([a[1], b[1] + len(a[3])])[order], np.concatenate([a[2], b[2]])[order], np.concatenate([a[3], b[3]])
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begins, lengths, flat): where the ids of each known hash are in flat."""
+        flat = np.concatenate([x[3] for x in self.levels])
+        begins, lengths, base = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), 0
+        for known, own_begins, own_lengths, own_flat in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[at] == h
+                begins[hit], lengths[hit] = own_begins[at[hit]] + base, own_lengths[at[hit]]
+            base += len(own_flat)
+        return begins, lengths, flat
+
+
+class Encoder:
+    """Ids of texts.  A tokenizer that splits at white space and drops it is asked for each piece of a text once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        said = json.loads(self.tokenizer.to_str())
+        pre = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        self.by_piece = (
+            said.get("normalizer") == _NORMALIZER and pre[0] == {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+            and len(pre) == 2 and level.items() <= pre[1].items() and all(re.fullmatch(r"<\|.*\|>", t["content"]) for t in said["added_tokens"])
+        )
+        self.cache = IdCache()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), 1024) for e in self.tokenizer.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False)]
+
+    def _encode_pieces(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids)."""
+        model, out, rest = self.tokenizer.model, [], []
+        for piece in found:
+            text = piece.decode()
+            if b"<|" not in piece:
+                text = text.lower() if text.isascii() or _PLAIN.fullmatch(text.lower()) and len(text.lower()) == len(text) else text
+            if _PLAIN.fullmatch(text):
+                out.append([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))])
+            else:
+                rest.append((len(out), text))
+                out.append([])
+        for (i, _), ids in zip(rest, self._encode([t for _, t in rest]), strict=True):
+            out[i] = ids
+        lengths = np.array([len(x) for x in out], np.int64)
+        return lengths, np.fromiter((i for x in out for i in x), np.uint32, int(lengths.sum()))
 
     def __call__(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
-        words = tokenise(texts)
-        h = words.hashes(fold=False)
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        raw, starts, ends = words.raw.tobytes(), words.starts[first].tolist(), words.ends[first].tolist()
-        pieces = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, pieces
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, np.uint32)
-        own = [self.known[p] for p in pieces]
-        lengths = np.array([len(x) for x in own], np.int64)
-        flat, base = np.concatenate([np.zeros(0, np.uint32), *own]), np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        each = lengths[inverse] if len(inverse) else np.zeros(0, np.int64)
+        tail = np.array([end_id], np.uint32)
+        if not self.by_piece:
+            return [np.array([*ids, end_id], np.uint32) for ids in self._encode([t or "" for t in texts.to_pylist()])]
+        words, h = pieces(texts)
+        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        new = np.flatnonzero(self.cache.missing(unique))
+        if len(new) and len(new) + sum(len(x[0]) for x in self.cache.levels) > CACHE:
+            self.cache = IdCache()
+            new = np.arange(len(unique))
+        if len(new):
+            raw = words.raw
+            found = [raw[a:b].tobytes() for a, b in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)]
+            self.cache.add(unique[new], *self._encode_pieces(found))
+        begins, lengths, flat = self.cache.find(unique)
+        each = lengths[inverse]
         bounds = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(base[inverse] - bounds[:-1], each) + np.arange(bounds[-1])] if len(each) else flat
+        ids = flat[np.repeat(begins[inverse] - bounds[:-1], each) + np.arange(bounds[-1])]
         cut = bounds[words.first]
-        tail = np.array([end_id], np.uint32)
         return [np.concatenate([ids[a:b], tail]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python process, which serves many tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _open_fs(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
@@ -192,7 +312,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         temporary = f"{root}/_{uuid.uuid4().hex}"
         for batch in chunks(batches):
             if writer is None:
-                encoder = PieceEncoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 out = fs.open_output_stream(temporary, compression=None)
                 writer = SeekableWriter(out)
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1), end_id), strict=True):
