@@ -83,6 +83,7 @@ class Words:
     ends: np.ndarray
     doc: np.ndarray
     first: np.ndarray
+    separators: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -91,6 +92,8 @@ class Words:
     def hashes(self, fold: bool) -> np.ndarray:
         """A 64-bit hash of each word; fold lower-cases A-Z."""
         table, n = (_FOLDED if fold else _LETTERS), len(self.starts)
+        if self.separators is not None:
+            table = np.where(self.separators, _U(0), table)
         out = np.empty(n, _U)
         at = 0
         while at < n:
@@ -123,11 +126,14 @@ class Words:
         return at, mix((sums[at + k] - sums[at]) * powers(_INVERSE, n)[at])
 
 
-def tokenise(texts: pa.Array) -> Words:
-    """The words of all texts; a null is a text without words."""
+def tokenise(texts: pa.Array, separators: np.ndarray = SEPARATORS) -> Words:
+    """The words of all texts; a null is a text without words.
+
+    Other ASCII characters may be separators too.
+    """
     raw, offsets = text_bytes(texts)
     n = len(raw)
-    word = ~SEPARATORS[raw]
+    word = ~separators[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.zeros(n, bool)
@@ -138,7 +144,7 @@ def tokenise(texts: pa.Array) -> Words:
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
     first = np.searchsorted(starts, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))
-    return Words(raw, offsets, starts, ends, doc, first)
+    return Words(raw, offsets, starts, ends, doc, first, None if separators is SEPARATORS else separators)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """The queries of this subpackage and the SQL that answers them."""
 
+from tessitura.llm.hidden_markov import op8_language_model
 from tessitura.llm.jaccard_join import op1_jaccard_join
 from tessitura.llm.language_id import op5_language_id
 from tessitura.llm.mixing import OP10_SQL, op10_mix_sources
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_personal_data": op7_personal_data,
+    "op8_language_model": op8_language_model,
     "op9_shard": op9_shard,
     "op10_mix_sources": op10_mix_sources,
 }
