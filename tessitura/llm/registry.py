@@ -1,5 +1,6 @@
 """The queries of this subpackage and the SQL that answers them."""
 
+from tessitura.llm.decontamination import op3_decontamination
 from tessitura.llm.hidden_markov import op8_language_model
 from tessitura.llm.jaccard_join import op1_jaccard_join
 from tessitura.llm.language_id import op5_language_id
@@ -13,6 +14,7 @@ from tessitura.llm.token_files import op6_token_files
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
