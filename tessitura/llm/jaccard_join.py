@@ -58,9 +58,9 @@ def ceil_share(n, num: int, den: int):
     return -((-n * num) // den)
 
 
-def least_shared(n):
+def least_shared(n, num: int, den: int):
     """l for a set of n: a longer prefix lets more sets be ruled out."""
-    return np.maximum(1, n // 10)
+    return np.maximum(1, n * (den - num) // den)
 
 
 def grams(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, classes) -> DataFram
         for batch in chunks(batches):
             bounds, keys = ordered_sets(batch, k, classes.value)
             n = np.diff(bounds)
-            length = np.minimum(n, n - ceil_share(n, num, den) + least_shared(n))
+            length = np.minimum(n, n - ceil_share(n, num, den) + least_shared(n, num, den))
             length[den * n < num * (n + 1)] = 0  # so small that it links to equal sets only
             prefixes = [keys[a : a + m].tobytes() for a, m in zip(bounds[:-1].tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -210,7 +210,7 @@ def family_links(shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
         begins, counts = runs(gid)
         place = np.arange(len(gid)) - np.repeat(begins, counts) + 1
         have = np.repeat(counts, counts)
-        need = least_shared(ceil_share(size.astype(np.int64), num, den))
+        need = least_shared(ceil_share(size.astype(np.int64), num, den), num, den)
         keep = (have >= need) & (place <= have - need + 1)
         yield pa.RecordBatch.from_arrays([pa.array(gid[keep]), pa.array(-(token[keep] >> U(1)).astype(np.int64) - 1)], ["a", "b"])
 
@@ -369,5 +369,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10)
     )
 
 
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs with one document of each component, the one of the smallest id; of rows that repeat another, one.
+
+    Rows without a doc_id stay.
+    """
+    found = kept(jaccard_components(docs, **options).select("doc_id", "component_id"), "components")
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_first")).count()
+    stay = docs.join(first.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    repeated = first.where("count > 1").drop("count")
+    if not repeated.isEmpty():
+        stay = docs.join(first.where("count = 1").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+        again = docs.join(repeated, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+        stay = stay.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    return stay.unionByName(docs.where("doc_id is null"))
+
+
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -169,29 +169,34 @@ def train_language_net(labelled: DataFrame) -> ByteNet | None:
     return ByteNet(langs).fit(x[pick], own[pick])
 
 
+def judge(texts: pa.Array, net: ByteNet | None) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text."""
+    raw, offsets = text_bytes(texts)
+    n = len(texts)
+    lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
+    if net is not None and len(raw):
+        x, doc, used = windows(raw, offsets)
+        p = np.concatenate([net(x[a : a + 512]) for a in range(0, len(x), 512)])
+        total = np.zeros((n, len(net.langs)))
+        np.add.at(total, doc, p * used[:, None])
+        known = has_letter(texts, raw, offsets)
+        mean = total / np.maximum(1, np.diff(offsets))[:, None]
+        best = mean.argmax(axis=1)
+        lang[known] = np.array(net.langs, object)[best[known]]
+        score[known] = np.clip(mean[np.arange(n), best], 0, 1)[known]
+    return lang, score
+
+
 def identify_language(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """docs with lang_pred and score; all other columns are kept."""
+    """docs with lang_pred and score in place of any columns of these names; all other columns are kept."""
     model = docs.sparkSession.sparkContext.broadcast(net)
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     out = T.StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
         for batch in chunks(batches):
-            texts = batch.column(batch.schema.get_field_index("text"))
-            raw, offsets = text_bytes(texts)
-            n = batch.num_rows
-            lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            if net is not None and len(raw):
-                x, doc, used = windows(raw, offsets)
-                p = np.concatenate([net(x[a : a + 512]) for a in range(0, len(x), 512)])
-                total = np.zeros((n, len(net.langs)))
-                np.add.at(total, doc, p * used[:, None])
-                known = has_letter(texts, raw, offsets)
-                mean = total / np.maximum(1, np.diff(offsets))[:, None]
-                best = mean.argmax(axis=1)
-                lang[known] = np.array(net.langs, object)[best[known]]
-                score[known] = np.clip(mean[np.arange(n), best], 0, 1)[known]
+            lang, score = judge(batch.column(batch.schema.get_field_index("text")), model.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang.tolist(), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     return docs.mapInArrow(predict, out)
@@ -205,3 +210,15 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_identified(docs: DataFrame, net: ByteNet | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is known with a score of at least ``least``, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(net)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            lang, score = judge(batch.column(batch.schema.get_field_index("text")), model.value)
+            yield batch.filter(pa.array((lang != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(keep, docs.schema)
