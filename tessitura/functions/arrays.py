@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
+def zero() -> Column:
+    return F.lit(0.0)
+
 LOG_FLOOR = 1e-10
 
 
@@ -32,7 +34,7 @@ def doubles(a: Column | str) -> Column:
 
 
 def total(a: Column) -> Column:
-    return F.aggregate(a, ZERO, lambda s, x: s + x)
+    return F.aggregate(a, zero(), lambda s, x: s + x)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -109,7 +111,7 @@ def fit_frames(features: Column | str, dim: int, expected: int) -> tuple[Column,
     """(features cut or padded with zeros to ``expected`` frames, whether there were more)."""
     a = doubles(features)
     n = expected * dim
-    fitted = F.concat(F.slice(a, 1, n), F.array_repeat(ZERO, F.greatest(F.lit(0), F.lit(n) - F.size(a))))
+    fitted = F.concat(F.slice(a, 1, n), F.array_repeat(zero(), F.greatest(F.lit(0), F.lit(n) - F.size(a))))
     return fitted, F.floor(F.size(a) / dim) > expected
 
 
@@ -183,7 +185,7 @@ def sample_token(scores: Column | str, u: Column, temperature: float) -> Column:
     if temperature <= 0:
         return argmax(scores)
     p = softmax(F.transform(doubles(scores), lambda x: x / temperature))
-    start = F.struct(ZERO.alias("sum"), F.lit(-1).alias("found"), F.lit(0).alias("at"))
+    start = F.struct(zero().alias("sum"), F.lit(-1).alias("found"), F.lit(0).alias("at"))
 
     def step(s: Column, x: Column) -> Column:
         sum_ = s["sum"] + x
@@ -224,7 +226,7 @@ def pool(states: Column | str, hidden: int, strategy: str = "mean", pooled: bool
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, ZERO, lambda s, x: s + x * x))
+    return F.sqrt(F.aggregate(a, zero(), lambda s, x: s + x * x))
 
 
 def l2_normalize(vector: Column | str) -> Column:
