@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +75,52 @@ def sentence_chunks(text: Column | str, most: int | None = None, measure: Callab
     return F.when(F.size(chunks) > 0, chunks).otherwise(F.array(ensure_punctuation(t)))
 
 
+_STRIP = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _units(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+
+
+def packed_sentences(text: str, most: int, measure: Callable[[str], int] = _units) -> list[str]:
+    """What sentence_chunks gives for one text; measure sees a chunk with its punctuation."""
+    end = lambda s: s if not s or s[-1] in ".!?,;:" else s + ","
+    out = []
+    for sentence in (s.strip(_STRIP) for s in re.split(SENTENCE_END, text)):
+        if not sentence:
+            continue
+        if measure(end(sentence)) <= most:
+            out.append(end(sentence))
+            continue
+        now: list[str] = []
+        size = -1
+        for word in filter(None, sentence.split(" ")):
+            if measure is _units:  # lengths add up, so that a chunk isn't measured again for each word
+                more = size + 1 + _units(word)
+                fits = more + (word[-1] not in ".!?,;:") <= most
+            else:
+                more, fits = 0, measure(end(" ".join([*now, word]))) <= most
+            if not fits:
+                if now:
+                    out.append(end(" ".join(now)))
+                now, more = [], _units(word)
+            now.append(word)
+            size = more
+        if now:
+            out.append(end(" ".join(now)))
+    return out or [end(text)]
+
+
+def sentence_chunks_arrow(text: Column | str, most: int, measure: Callable[[str], int] = _units) -> Column:
+    """sentence_chunks on Arrow batches, for long texts and measures in Python: its time grows with the text."""
+
+    @F.pandas_udf("array<string>")
+    def chunk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else packed_sentences(t, most, measure))
+
+    return chunk(_c(text))
+
+
 def paragraphs(text: Column | str) -> Column:
     """Trimmed paragraphs between blank lines, without empty ones; the whole trimmed text where none is left."""
     t = F.regexp_replace(_c(text), "\r\n?", "\n")

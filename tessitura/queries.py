@@ -454,7 +454,7 @@ c AS (SELECT doc_id, s, chunk, arg_max(now, i) AS c FROM k GROUP BY ALL
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s, chunk) - 1)::INT AS chunk_index, {PUNCTUATED.format("c")} AS content FROM c""")
 def pack_words(spark, sf_dir):
     """Sentences of at most 80 characters, the longer ones packed by words."""
-    chunks = table(spark, sf_dir, "documents").select("doc_id", X.sentence_chunks("text", 80).alias("c"))
+    chunks = table(spark, sf_dir, "documents").select("doc_id", X.sentence_chunks_arrow("text", 80).alias("c"))
     return chunks.select("doc_id", F.posexplode("c").alias("chunk_index", "content"))
 
 
