@@ -256,3 +256,16 @@ def codec_vocab_size(books: int, size: int) -> int:
 
 def codec_frame_count(seconds: Column, rate: int, hop: int) -> Column:
     return F.floor((seconds * rate).cast("int") / hop).cast("int")
+
+
+def dft_power(samples: Column | str, n: int) -> Column:
+    """|DFT|^2 of n samples for the frequencies 0 .. n / 2, by explicit sums: for short frames."""
+    a = doubles(samples)
+    turn = 2 * 3.141592653589793 / n
+
+    def power(k: Column) -> Column:
+        re = total(F.transform(a, lambda x, i: x * F.cos(k * i * turn)))
+        im = total(F.transform(a, lambda x, i: x * F.sin(k * i * turn)))
+        return re * re + im * im
+
+    return F.transform(indices(n // 2 + 1), power)

@@ -524,3 +524,68 @@ def events_session(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     s = e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n", "total")
+
+
+# features and models
+
+
+@query(f"""WITH {V}, x AS (SELECT vec_id, k, sum(v[i + 1] * cos(2 * pi() * k * i / 64)) AS re, sum(v[i + 1] * sin(2 * pi() * k * i / 64)) AS im FROM v, range(64) t(i), range(33) s(k) GROUP BY vec_id, k)
+SELECT vec_id, k::INT AS k, round(re * re + im * im, 6) + 0.0 AS power FROM x""")
+def dft_power(spark, sf_dir):
+    """The power spectrum of each vector, by explicit sums."""
+    return cells(vectors(spark, sf_dir), ["vec_id"], A.dft_power("v", 64), "k", "power")
+
+
+@query(f"""WITH {V}, x AS (SELECT vec_id, k, sum(v[i + 1] * cos(2 * pi() * k * i / 64)) AS re, sum(v[i + 1] * sin(2 * pi() * k * i / 64)) AS im FROM v, range(64) t(i), range(33) s(k) GROUP BY vec_id, k),
+e AS (SELECT i, 700 * (10 ** (i * 2595 * log10(1 + 8000.0::DOUBLE / 700) / 9 / 2595) - 1) AS f FROM range(10) t(i)),
+b AS (SELECT l.i AS bin, l.f AS lo, c.f AS ce, h.f AS hi FROM e l JOIN e c ON c.i = l.i + 1 JOIN e h ON h.i = l.i + 2),
+w AS (SELECT bin, k, greatest(0, least((k * 250 - lo) / (ce - lo), (hi - k * 250) / (hi - ce))) AS w FROM b, range(33) s(k))
+SELECT vec_id, bin::INT AS bin, round(ln(greatest(sum((re * re + im * im) * w), 1e-10)), 6) + 0.0 AS value FROM x JOIN w USING (k) GROUP BY vec_id, bin""")
+def mel_frame(spark, sf_dir):
+    """One log-mel frame of 8 bands of each vector."""
+    from tessitura.functions.mel import MelOptions, filters
+
+    bank = filters(MelOptions(bins=8, fft=64)).T.tolist()
+    power = vectors(spark, sf_dir).select("vec_id", A.dft_power("v", 64).alias("p"))
+    bands = F.array(*(A.total(F.zip_with("p", F.array(*(F.lit(w) for w in row)), lambda a, b: a * b)) for row in bank))
+    return cells(power, ["vec_id"], F.transform(bands, A.log_floor), "bin")
+
+
+WEIGHTS = [[(i * 7 + j * 3) % 5 - 2 for j in range(10)] for i in range(64)]
+
+
+@query(f"""WITH {V} SELECT vec_id, j::INT AS idx, sum(floor(v[i + 1] * 256) / 256 * ((i * 7 + j * 3) % 5 - 2)) + 0.0 AS score FROM v, range(64) t(i), range(10) s(j) GROUP BY vec_id, j""")
+def onnx_matmul_score(spark, sf_dir):
+    """A model that multiplies by a matrix, run by the scorer."""
+    from tessitura.scoring.onnx import onnx_score
+    from tessitura.scoring.sessions import Model
+    from tessitura.scoring.tiny import matmul
+
+    exact = F.transform("v", lambda x: (F.floor(x * 256) / 256).cast("float"))  # sums of these are the same in single precision
+    features = vectors(spark, sf_dir).select("vec_id", F.struct(exact.alias("data"), F.lit(1).alias("frames"), F.lit(64).alias("dim")).alias("Features"))
+    scored = onnx_score(features, Model(matmul(WEIGHTS)))
+    return scored.select("vec_id", F.posexplode("Scores").alias("idx", "score")).withColumn("score", F.col("score").cast("double") + F.lit(0.0))
+
+
+@query(f"""WITH RECURSIVE {V}, m AS (SELECT vec_id, i, list_sum(list_transform(v[i * 16 + 1 : i * 16 + 16], lambda x: abs(x))) / 16 AS m FROM v, range(4) t(i)),
+s AS (SELECT vec_id, 0 AS frame, m AS c FROM m WHERE i = 0 UNION ALL SELECT s.vec_id, s.frame + 1, s.c / 2 + m.m FROM s JOIN m ON m.vec_id = s.vec_id AND m.i = s.frame + 1)
+SELECT vec_id, frame::INT AS frame, round(c / (c + 1), 4) AS prob FROM s""")
+def vad_recurrent_state(spark, sf_dir):
+    """Frame probabilities of a model that carries its state from frame to frame."""
+    from tessitura.plans.facades import VoiceActivity
+    from tessitura.scoring.sessions import Model
+    from tessitura.scoring.tiny import recurrent
+
+    audio = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("Audio"))
+    probs = VoiceActivity(Model(recurrent(16)), window=16).probabilities(audio)
+    return probs.select("vec_id", F.posexplode("probs").alias("frame", "prob")).withColumn("prob", F.round(F.col("prob").cast("double"), 4))
+
+
+@query("""SELECT vec_id, 16000 AS sample_rate, 64 AS n_samples, list_sum(list_transform(embedding, lambda x: trunc(greatest(-1::FLOAT, least(1::FLOAT, x)) * 32767::FLOAT)::BIGINT))::BIGINT AS total FROM embeddings""")
+def wav_roundtrip(spark, sf_dir):
+    """Each vector as a WAV file and back."""
+    from tessitura.sources.wav import decode_wav, encode_wav
+
+    files = table(spark, sf_dir, "embeddings").select("vec_id", encode_wav("embedding").alias("content"))
+    audio = files.select("vec_id", decode_wav("content").alias("a"))
+    return audio.select("vec_id", "a.sample_rate", F.size("a.samples").alias("n_samples"), A.total(F.transform(A.doubles(F.col("a.samples")), lambda x: F.round(x * 32767))).cast("long").alias("total"))
