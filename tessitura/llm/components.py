@@ -47,9 +47,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     """links(a long, b long) to (node, component): the smallest node that each node reaches.
 
     In each round every node points to its smallest neighbour if that is smaller, the
-    pointers are followed twice, and links between nodes of one root vanish; what is
-    left is a smaller graph of roots.  A round leaves at most half of the nodes that
-    had links.  Rounds end at checkpoints.  Nodes with links to themselves only are
+    pointers are followed by doubling until they all end at roots, and links between
+    nodes of one root vanish; what is left is a smaller graph of roots.  Every root that still has
+    links has swallowed a neighbour or is swallowed next, so a round halves them at least.  Rounds end at checkpoints.  Nodes with links to themselves only are
     not in the result.
     """
     e = checkpointed(links.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forests, "a long, b long"))
@@ -57,11 +57,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     while not maps or not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up"))
-        for _ in range(2):
-            step = checkpointed(step)
+        step, moved = checkpointed(step), True
+        while moved:
             above = step.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            step = step.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-        step = checkpointed(step)
+            jumped = step.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("top") < F.col("up")).alias("moved"))
+            jumped = checkpointed(jumped)
+            moved = not jumped.where("moved").isEmpty()
+            step = jumped.drop("moved")
         maps.append(step)
         x, y = step.select(F.col("node").alias("a"), F.col("up").alias("x")), step.select(F.col("node").alias("b"), F.col("up").alias("y"))
         e = checkpointed(e.join(x, "a").join(y, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
