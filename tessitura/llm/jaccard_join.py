@@ -375,12 +375,12 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     Rows without a doc_id stay.
     """
     found = kept(jaccard_components(docs, **options).select("doc_id", "component_id"), "components")
-    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_first")).count()
-    stay = docs.join(first.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).count()
+    stay = docs.join(first.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
     repeated = first.where("count > 1").drop("count")
     if not repeated.isEmpty():
-        stay = docs.join(first.where("count = 1").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-        again = docs.join(repeated, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+        stay = docs.join(first.where("count = 1").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
+        again = docs.join(repeated, F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
         stay = stay.unionByName(again.dropDuplicates(["doc_id", "text"]))
     return stay.unionByName(docs.where("doc_id is null"))
 

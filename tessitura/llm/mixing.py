@@ -68,17 +68,17 @@ def mix_copies(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: float = 3.0, seed: str = "mix",
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """docs with ``_mix`` = struct(size, source_size, target, copies)."""
-    sized = docs.withColumn("_mix_size", word_count(F.col(text_col)))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_mix_size").alias("source_size"))
-    targets = source_targets(sizes, weights, most).select(F.struct("source", "source_size", "target").alias("_t"))
-    rate = F.when(F.col("_t.source_size") > 0, F.col("_t.target") / F.col("_t.source_size")).otherwise(0.0)
+    """docs with ``__mix`` = struct(size, source_size, target, copies)."""
+    sized = docs.withColumn("__mix_size", word_count(F.col(text_col)))
+    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("__mix_size").alias("source_size"))
+    targets = source_targets(sizes, weights, most).select(F.struct("source", "source_size", "target").alias("__t"))
+    rate = F.when(F.col("__t.source_size") > 0, F.col("__t.target") / F.col("__t.source_size")).otherwise(0.0)
     extra = hash_unit(seed, F.col(id_col)) < rate - F.floor(rate)
     copies = (F.floor(rate) + extra.cast("long")).cast("int")
     return (
-        sized.join(targets, F.col(source_col).eqNullSafe(F.col("_t.source")), "left")
-        .withColumn("_mix", F.struct(F.col("_mix_size").alias("size"), F.col("_t.source_size").alias("source_size"), F.col("_t.target").alias("target"), copies.alias("copies")))
-        .drop("_mix_size", "_t")
+        sized.join(targets, F.col(source_col).eqNullSafe(F.col("__t.source")), "left")
+        .withColumn("__mix", F.struct(F.col("__mix_size").alias("size"), F.col("__t.source_size").alias("source_size"), F.col("__t.target").alias("target"), copies.alias("copies")))
+        .drop("__mix_size", "__t")
     )
 
 
@@ -88,12 +88,12 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     The columns are those of docs.
     """
     made = mix_copies(docs, **options)
-    return made.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_mix.copies")))).where("_copy > 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return made.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__mix.copies")))).where("__copy > 0").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_copies(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).cast("long").alias("taken"))
+    return mix_copies(docs).select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.size") * F.col("__mix.copies")).cast("long").alias("taken"))
 
 
 OP10_SQL = r"""
