@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -87,22 +87,34 @@ def seconds_to_token(seconds: Column, special: SpecialTokens = DEFAULT) -> Colum
     return (F.least(F.greatest(F.bround(seconds / STEP, 0), F.lit(0.0)), F.lit(float(LAST_STEP))) + special.timestamps).cast("int")
 
 
-def _pieces(vocab: Mapping[int, str] | Column) -> Column:
-    return vocab if isinstance(vocab, Column) else F.create_map(*(F.lit(x) for k, v in vocab.items() for x in (k, v)))
+_MARK, _NONE = "\u0001", "\u0002"
+
+
+def _lookup(vocab: Mapping[int, str] | Column) -> Callable[[Column], Column]:
+    """The token of an id, null if there is none.
+
+    A mapping becomes one constant array, made from one literal and read by place: a map
+    would be searched from its start for every id.
+    """
+    if isinstance(vocab, Column):
+        return lambda i: F.try_element_at(vocab, i)
+    joined = _MARK.join(vocab.get(i, _NONE) for i in range(max(vocab, default=-1) + 1))
+    tokens = F.split(F.lit(joined), _MARK)
+    return lambda i: F.nullif(F.get(tokens, i), F.lit(_NONE)) if vocab else F.lit(None).cast("string")
 
 
 def whisper_decode(ids: Column | str, vocab: Mapping[int, str] | Column, special: SpecialTokens = DEFAULT) -> Column:
     """The text of ids up to the end, without special and unknown ones."""
-    own = _pieces(vocab)
-    words = F.transform(F.filter(until_end(ids, special), lambda i: i < special.start), lambda i: F.try_element_at(own, i))
+    own = _lookup(vocab)
+    words = F.transform(F.filter(until_end(ids, special), lambda i: i < special.start), own)
     return F.array_join(F.array_compact(words), "")
 
 
 def whisper_decode_timestamps(ids: Column | str, vocab: Mapping[int, str] | Column, special: SpecialTokens = DEFAULT) -> Column:
     """Like whisper_decode, with times as [1.00s]."""
-    own = _pieces(vocab)
+    own = _lookup(vocab)
     stamp = lambda i: F.concat(F.lit("["), F.format_string("%.2f", (i - special.timestamps) * STEP), F.lit("s]"))
-    words = F.transform(until_end(ids, special), lambda i: F.when(is_timestamp(i, special), stamp(i)).when(i < special.start, F.try_element_at(own, i)))
+    words = F.transform(until_end(ids, special), lambda i: F.when(is_timestamp(i, special), stamp(i)).when(i < special.start, own(i)))
     return F.array_join(F.array_compact(words), "")
 
 
@@ -112,7 +124,7 @@ def whisper_segments(ids: Column | str, vocab: Mapping[int, str] | Column, speci
     Text before the first time of a pair goes into its segment; blank segments and text
     after the last pair are left out.  One fold over the ids.
     """
-    own = _pieces(vocab)
+    own = _lookup(vocab)
     none = F.lit(None).cast("double")
     segment = "struct<text:string,start:double,end:double>"
     first = F.struct(F.array().cast(f"array<{segment}>").alias("done"), none.alias("since"), F.lit("").alias("text"))
@@ -122,7 +134,7 @@ def whisper_segments(ids: Column | str, vocab: Mapping[int, str] | Column, speci
         closes = time.isNotNull() & s["since"].isNotNull()
         text = trim_space(s["text"])
         done = F.when(closes & (text != ""), F.concat(s["done"], F.array(F.struct(text.alias("text"), s["since"].alias("start"), time.alias("end"))))).otherwise(s["done"])
-        word = F.when(i < special.start, F.coalesce(F.try_element_at(own, i), F.lit(""))).otherwise(F.lit(""))
+        word = F.when(i < special.start, F.coalesce(own(i), F.lit(""))).otherwise(F.lit(""))
         return F.struct(
             done.alias("done"),
             F.when(time.isNull(), s["since"]).when(closes, none).otherwise(time).alias("since"),

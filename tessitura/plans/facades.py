@@ -121,9 +121,8 @@ class Whisper:
 
             return signals.map(lambda x: None if x is None else one(x))
 
-        vocab = F.create_map(*(F.lit(v) for i, t in self.vocab.items() for v in (i, t))) if self.vocab else F.create_map().cast("map<int,string>")
         out = df.withColumn("token_ids", recognise(input))
-        return out.withColumn(output, K.whisper_decode("token_ids", vocab, self.special)).withColumn("segments", K.whisper_segments("token_ids", vocab, self.special))
+        return out.withColumn(output, K.whisper_decode("token_ids", self.vocab, self.special)).withColumn("segments", K.whisper_segments("token_ids", self.vocab, self.special))
 
     def updates(self, df: DataFrame, key: str, input: str = "Audio", model_id: str | None = None) -> DataFrame:
         """The log of updates of each row."""

@@ -378,13 +378,9 @@ TURNS = """t AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lamb
 x AS (SELECT conv_id, turn, coalesce(' ' || list_aggregate(list_transform(w, lambda y: 'w' || least(length(y), 999)), 'string_agg', ' '), '') AS text, len(w) AS n FROM t)"""
 
 
-def vocab_map() -> F.Column:
-    return F.create_map(*(F.lit(x) for k, v in VOCAB.items() for x in (k, v)))
-
-
 def recognised(spark, sf_dir) -> DataFrame:
     t = token_lists(spark, sf_dir)
-    return t.select("conv_id", "token_ids", K.whisper_decode("token_ids", vocab_map()).alias("text"), K.whisper_segments("token_ids", vocab_map()).alias("segments"))
+    return t.select("conv_id", "token_ids", K.whisper_decode("token_ids", VOCAB).alias("text"), K.whisper_segments("token_ids", VOCAB).alias("segments"))
 
 
 @query(f"WITH {TURNS} SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS idx, trim(text) AS text, round(turn * 2.0::DOUBLE, 6) AS start_sec, round(turn * 2.0::DOUBLE + 1, 6) AS end_sec FROM x WHERE trim(text) <> ''")
@@ -397,7 +393,7 @@ def whisper_segments(spark, sf_dir):
 string_agg('[' || printf('%.2f', turn * 2.0::DOUBLE) || 's]' || text || '[' || printf('%.2f', turn * 2.0::DOUBLE + 1) || 's]', '' ORDER BY turn) AS timed FROM x GROUP BY conv_id""")
 def whisper_decode(spark, sf_dir):
     t = token_lists(spark, sf_dir)
-    return t.select("conv_id", K.whisper_decode("token_ids", vocab_map()).alias("text"), K.whisper_decode_timestamps("token_ids", vocab_map()).alias("timed"))
+    return t.select("conv_id", K.whisper_decode("token_ids", VOCAB).alias("text"), K.whisper_decode_timestamps("token_ids", VOCAB).alias("timed"))
 
 
 @query(f"""WITH {TURNS}, s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, trim(text) AS text, turn * 2.0::DOUBLE AS a, turn * 2.0::DOUBLE + 1 AS b FROM x WHERE trim(text) <> ''),
