@@ -348,11 +348,24 @@ def rare_words(docs: DataFrame, counts: DataFrame, words, n: int) -> DataFrame:
         begins = np.flatnonzero(first)
         logs = np.add.reduceat(x["times"] * np.log10(found + 0.5), begins)
         known_ = np.add.reduceat(x["times"].astype(np.int64) * (found > 0), begins)
-        yield pa.RecordBatch.from_arrays([pa.array(x["key"][begins]), pa.array(x["text"][begins]), pa.array(logs), pa.array(known_)], ["key", "text_key", "rare_log", "rare_known"])
+        # packed again: a text has words in many buckets
+        key, text = x["key"][begins], x["text"][begins]
+        yield scatter(key.view(U) ^ text.view(U), {"key": key, "text": text, "logs": logs, "known": known_}, n)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = gather(batches, {"key": "<i8", "text": "<i8", "logs": "<f8", "known": "<i8"})
+        order = np.lexsort((x["logs"], x["text"], x["key"]))  # one order of sums, whatever came first
+        x = {k: v[order] for k, v in x.items()}
+        if not len(order):
+            return
+        first = np.ones(len(order), bool)
+        first[1:] = (x["text"][1:] != x["text"][:-1]) | (x["key"][1:] != x["key"][:-1])
+        begins = np.flatnonzero(first)
+        yield pa.RecordBatch.from_arrays([pa.array(x["key"][begins]), pa.array(x["text"][begins]), pa.array(np.add.reduceat(x["logs"], begins)), pa.array(np.add.reduceat(x["known"], begins))], ["key", "text_key", "rare_log", "rare_known"])
 
     asked = docs.select("key", "text").mapInArrow(ask, PACKED)
-    told = asked.unionByName(counts).repartition(n, "bucket").mapInArrow(tell, "key long, text_key long, rare_log double, rare_known long")
-    return told.groupBy("key", "text_key").agg(F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"))
+    told = asked.unionByName(counts).repartition(n, "bucket").mapInArrow(tell, PACKED)
+    return told.repartition(n, "bucket").mapInArrow(add, "key long, text_key long, rare_log double, rare_known long")
 
 
 def known_scores(docs: DataFrame, words, model) -> DataFrame:
