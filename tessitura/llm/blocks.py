@@ -239,9 +239,15 @@ def sorted_sets(bounds: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return before[bounds], x[keep]
 
 
+#: From here on a planner's size is a default, and what a row is then taken to have.
+UNKNOWN_SIZE, ROW_BYTES = 1 << 60, 4096
+
+
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 16, most: int = 100_000) -> int:
     """A number of buckets in proportion to the size that the planner knows of df."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN_SIZE:  # rows of a driver or an RDD: the planner doesn't know
+        size = df.count() * ROW_BYTES
     return max(least, min(most, size // bytes_each))
 
 
