@@ -63,7 +63,7 @@ def word_classes(w: Words) -> np.ndarray:
 class Vocabulary:
     """What all tasks know: the most frequent words and the sums."""
 
-    h: np.ndarray  # hashes of the TOP words, ascending
+    h: np.ndarray  # hashes of the TOP words, tagged with their classes, ascending
     c: np.ndarray  # their counts
     symbol: np.ndarray  # their symbols: below SYMBOLS, or SYMBOLS + class
     total: int  # N
@@ -77,8 +77,9 @@ class Vocabulary:
         h, cls = w.hashes(fold=True), word_classes(w)
         if not len(self.h):
             return h, np.full(len(h), -1), SYMBOLS + cls.astype(np.int64), cls
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        hit = self.h[at] == h
+        tag = tagged(h, cls)
+        at = np.minimum(np.searchsorted(self.h, tag), len(self.h) - 1)
+        hit = self.h[at] == tag
         return h, np.where(hit, self.c[at], -1), np.where(hit, self.symbol[at], SYMBOLS + cls.astype(np.int64)), cls
 
     @property
