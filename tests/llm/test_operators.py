@@ -359,8 +359,8 @@ def test_op10(spark, small, rows):
 
 def test_components(spark):
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
-    chain = np.arange(1000, 1200)
+    a, b = rng.integers(0, 100, 80), rng.integers(0, 100, 80)
+    chain = np.arange(1000, 1030)
     a, b = np.concatenate([a, chain[1:]]), np.concatenate([b, chain[:-1]])
     parent = {int(x): int(x) for x in np.concatenate([a, b])}
 
