@@ -18,7 +18,7 @@ PHONEME_IPA = (
 )
 PHONEMES = PHONEME_PAD + PHONEME_PUNCTUATION + PHONEME_LETTERS + PHONEME_IPA
 
-#: White space as .NET's and Java's Unicode classes have it.
+#: White space as the Unicode classes of regular expressions have it.
 _SPACE = r"[\s\u0085\p{Z}]"
 SENTENCE_END = "[.!?]+"
 SPM_SPACE = "▁"
