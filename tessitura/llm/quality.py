@@ -1,17 +1,23 @@
 """Quality rules with risk-controlled thresholds (operator 4).
 
 Every rule rejects documents whose measure is above a cutoff.  The cutoffs come from
-labelled documents, a holdout on which nothing else was fitted: for each stratum
-(language) and rule, cutoffs of a fixed grid are tested from the loosest to the
-tightest.  A cutoff passes if the exact binomial test rejects "more than ALPHA / rules
-of the good documents are rejected", that is if the chance of as few false rejections
-or fewer at that rate is at most DELTA / (strata * rules).  Testing ends at the first
-failure, so that the sequence needs no correction of its own; strata and rules are
-corrected by Bonferroni.  With probability 1 - DELTA, then, all rules together reject
-at most ALPHA of the good documents of every stratum.  A stratum without enough labels
-gets no cutoff, and its documents are kept unless the base rule fails them.
-
-Counts of good documents by stratum, rule and grid cell are summed where they arise; a
+labelled documents, a holdout on which nothing else was fitted.  One path, fixed
+beforehand, leads through the cutoffs of a fixed grid: those of the first of RULES from the
+loosest to the tightest, then, with that one as it is, those of the second, and so on.  A
+place on the path passes if the exact binomial test rejects "more than ALPHA of the good
+documents are rejected by the rules together", that is if the chance of as few false
+rejections or fewer at that rate is at most DELTA / (strata + 1).  Testing ends at the
+first failure, so that neither rules nor cutoffs need a correction of their own; strata
+are corrected by Bonferroni.  With probability 1 - DELTA, then, all rules together reject
+at most ALPHA of the good documents of every stratum that has labels enough for a test
+of its own: n with (1 - ALPHA) ** n <= DELTA / (strata + 1).
+
+A stratum with fewer labels takes the place that the labels of all strata pass together,
+and goes back from it as long as more than ALPHA of its own are rejected.  For these the
+bound holds for the good documents of all labelled strata taken together.  If all labels
+are too few, or a stratum has none, documents are kept unless the base rule fails them.
+
+Counts of good documents by stratum and place on the path are summed where they arise; a
 stratum's test sees at most rules * grid counts.
 
 Defined results: a null text has no words and fails the base rule; null is a stratum of
@@ -36,6 +42,7 @@ U = np.uint64
 ALPHA, DELTA = 0.01, 0.05
 GRID = 50  # cutoffs 1 / GRID, 2 / GRID, ... of each measure, which are shares
 RULES = ("symbol_share", "upper_share", "dup_line_share", "repeat_share")
+PATH = len(RULES) * (GRID - 1)  # places on the path; the tightest is 0
 REPEAT_WINDOW = 5
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -146,28 +153,44 @@ def tightest(above: list[int], n: int, alpha: float, delta: float) -> int | None
     return found
 
 
+def rejected_by(levels: list[int], counts: list[int]) -> tuple[list[int], int]:
+    """How many documents each place on the path rejects, from the tightest to the loosest, and how many there are."""
+    own = np.zeros(PATH + 1, np.int64)
+    np.add.at(own, levels, counts)
+    return (int(own.sum()) - np.cumsum(own)[:-1]).tolist(), int(own.sum())
+
+
+def cutoffs_at(i: int | None) -> list[float | None]:
+    """The cutoff of each rule at a place on the path."""
+    if i is None:
+        return [None] * len(RULES)
+    later, step = divmod(i, GRID - 1)
+    return [1 / GRID] * (len(RULES) - 1 - later) + [(step + 1) / GRID] + [None] * later
+
+
 def select_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum and a cutoff for each rule; null where none passes."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     m = measures(stats)
-    # a cell is the number of cutoffs below a document's measure
-    cells = [F.least(F.ceil(m[r] * GRID), F.lit(GRID)).cast("int").alias(r) for r in RULES]
-    labelled = stats.join(good, "doc_id", "left_semi").select("stratum", *cells)
-    counts = labelled.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("cell")) for r in RULES))).alias("x")).groupBy("stratum", "x.rule", "x.cell").agg(F.count(F.lit(1)).alias("n"))
+    # a cell is the number of cutoffs below a document's measure, 1 more than that of its loosest cutoff
+    cells = [F.least(F.ceil(m[r] * GRID), F.lit(GRID)).cast("int") for r in RULES]
+    level = F.greatest(*(F.when(c > 1, c - 1 + k * (GRID - 1)).otherwise(0) for c, k in zip(cells, reversed(range(len(RULES))), strict=True)))
+    counts = stats.join(good, "doc_id", "left_semi").select("stratum", level.alias("level")).groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n"))
     counts = kept(counts, "cutoff-counts")
-    tests = max(1, counts.select("stratum").distinct().count()) * len(RULES)
+    delta = delta / (counts.select("stratum").distinct().count() + 1)
+    rows = counts.groupBy("level").agg(F.sum("n").alias("n")).collect()  # at most PATH + 1
+    pooled, n_pooled = rejected_by([r.level for r in rows], [r.n for r in rows])
+    common = tightest(pooled, n_pooled, alpha, delta)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"stratum": [pdf["stratum"].iloc[0]]}
-        for r in RULES:
-            own = np.zeros(GRID + 1, np.int64)
-            part = pdf[pdf["rule"] == r]
-            np.add.at(own, part["cell"].to_numpy(), part["n"].to_numpy())
-            # cell c: over the cutoffs 1 .. c - 1 (of GRID), so over cutoff i if c > i
-            above = [int(own[i + 1 :].sum()) for i in range(1, GRID)]
-            i = tightest(above, int(own.sum()), alpha / len(RULES), delta / tests)
-            row[r] = [None if i is None else (i + 1) / GRID]
-        return pd.DataFrame(row)
+        above, n = rejected_by(pdf["level"].tolist(), pdf["n"].tolist())
+        if at_most(0, n, alpha) <= delta:
+            i = tightest(above, n, alpha, delta)
+        else:
+            i = common
+            while i is not None and above[i] > alpha * n:
+                i = i + 1 if i + 1 < PATH else None
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]]} | {r: [c] for r, c in zip(RULES, cutoffs_at(i), strict=True)})
 
     return counts.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"{r} double" for r in RULES))
 

@@ -157,6 +157,34 @@ def test_risk_control():
     assert bad <= 20
 
 
+def test_cutoffs_reject(spark):
+    from tessitura.llm.quality import quality_rules
+
+    rng = np.random.default_rng(4)
+    docs, labels = [], []
+    for lang, n_good, n_bad in (("en", 600, 40), ("de", 60, 10), (None, 20, 5), ("fr", 0, 5)):
+        for i in range(n_good + n_bad):
+            own = [f"w{x}" for x in rng.integers(0, 10**6, 30)]
+            docs.append((len(docs), " ".join(own if i < n_good else [w + "$" for w in own]), lang))
+            if lang != "fr":
+                labels.append((docs[-1][0], int(i < n_good)))
+    bad = {d for d, q in labels if not q}
+    got = quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert not any(r.base_failed for r in got) and len(got) == len(docs)
+    assert {r.doc_id for r in got if not r.kept} == bad  # small strata by the labels of all; fr has no label
+
+
+def test_small_stratum_goes_back(spark):
+    from tessitura.llm.quality import quality_rules
+
+    # in "code" good documents have a symbol in each word
+    text = lambda i, s: " ".join(f"w{100 * i + j}{s}" for j in range(30))
+    docs = [(i, text(i, ""), "en") for i in range(700)] + [(i, text(i, "$"), "code") for i in range(700, 705)] + [(705, text(705, "$" * 20), "code")]
+    labels = [(i, 1) for i in range(705)] + [(705, 0)]
+    got = quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {r.doc_id for r in got if not r.kept} == {705}
+
+
 def test_op5(spark, small, rows):
     got = run(spark, "op5_language_id", small)
     assert len(got) == len(rows)
