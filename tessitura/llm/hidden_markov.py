@@ -14,7 +14,8 @@ all other words, by their last two bytes.  A word of a class has within it the c
 the unigram model has.  STATES latent states emit symbols.  Baum-Welch: tasks run the scaled
 forward and backward recursions over all texts that they read and send expected
 counts; sums of a fixed number of cells come back and give the next model.  A bounded sample
-of texts (SAMPLE, none over SAMPLE_CHARS) only gives the model from which this starts.
+(SAMPLE texts, of longer ones a window of SAMPLE_CHARS) only gives the model from which this
+starts; if nothing is drawn, that is a random one.
 
 *Score.*  The scaled forward recursion gives the exact likelihood of the symbols, and
 the words within their classes follow from counts.  Texts run side by side, ordered by length, so
@@ -27,6 +28,7 @@ counted; without training texts every token has the chance 1 in the base score.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +50,7 @@ TOKENS = 1_000_000  # tokens that run side by side
 FOLD = 1
 END = SYMBOLS + CLASSES
 SMOOTH = 0.1
+_CUT_BEGIN, _NO_WORD = re.compile(r"\A[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -267,18 +270,28 @@ def symbol_batches(batches: Iterator[pa.RecordBatch], words: Vocabulary) -> Iter
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def whole_words(piece: str | None, begin: int | None, cut: bool | None) -> str:
+    """A window of a text without the words that it may have cut in two: at its end if cut, at its begin if that isn't the text's."""
+    piece = _CUT_BEGIN.sub("", piece or "", count=1) if begin else piece or ""
+    return piece[: len(piece) - len(_NO_WORD.split(piece)[-1])] if cut else piece
+
+
 def train_model(train: DataFrame, words, rounds: int = ROUNDS) -> HiddenMarkov:
     """Baum-Welch over all texts of train(doc_id, text); words: a broadcast Vocabulary."""
     sc = train.sparkSession.sparkContext
     n = max(1, words.value.ends)
-    drawn = (hash_unit("markov", F.col("doc_id")) < min(1.0, 2 * SAMPLE / n)) & (F.length("text") <= SAMPLE_CHARS)
-    sample = train.where(drawn).select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()
+    # by text and id: ids may be null or repeat
+    own = F.xxhash64("doc_id", "text")
+    drawn = train.where(hash_unit("markov", own) < min(1.0, 2 * SAMPLE / n)).select("text", own.alias("own"))
+    begin = F.floor(hash_unit("window", F.col("own")) * F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int")
+    pieces = drawn.select("own", begin.alias("begin"), F.substring("text", begin + 1, F.lit(SAMPLE_CHARS)).alias("piece"), (begin + SAMPLE_CHARS < F.length("text")).alias("cut"))
+    sample = pieces.orderBy("own", "piece").limit(SAMPLE).collect()
     model = HiddenMarkov.random()
-    w = tokenise(pa.array([r.text for r in sample], pa.string()))
+    w = tokenise(pa.array([whole_words(r.piece, r.begin, r.cut) for r in sample], pa.string()))
     obs, lengths = with_ends(words.value.look_up(w)[2].astype(np.int32), w)
     for _ in range(SAMPLE_ROUNDS if len(obs) else 0):
         model = HiddenMarkov.from_counts(model.expect(obs, lengths))
-    for _ in range(rounds if len(obs) else 0):
+    for _ in range(rounds if words.value.ends else 0):
         now = sc.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:

@@ -312,6 +312,20 @@ def test_op8(spark, small, rows):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_training_without_short_texts(spark):
+    from tessitura.llm.hidden_markov import SAMPLE_CHARS, language_model_scores, whole_words
+
+    rng = np.random.default_rng(6)
+    # long texts only; and many texts of which none has an id
+    long = [(i, " ".join(f"word{x}" for x in rng.integers(0, 50, 2500))) for i in range(10)]
+    no_id = [(None, " ".join(f"word{x}" for x in rng.integers(0, 50, 20))) for _ in range(4000)]
+    assert all(len(t) > SAMPLE_CHARS for _, t in long)
+    for docs in (long, no_id):
+        got = language_model_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert sum(r.score for r in got) > 1.01 * sum(r.base_score for r in got)
+    assert whole_words("ab cd ef", 3, True) == " cd " and whole_words("ab cd", 0, False) == "ab cd" and whole_words("abc", 1, True) == whole_words(None, None, None) == ""
+
+
 def test_forward_and_counts():
     rng = np.random.default_rng(3)
     emit = rng.random((END + 1, STATES))
