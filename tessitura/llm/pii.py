@@ -7,14 +7,16 @@ term stands within CONTEXT words of the entity,
 
     PMI = log2(n * n_et / (n_e * n_t))      IC = log2(n / n_e)
 
-and the term is a span of kind ``term`` if PMI >= DISCLOSURE * IC and n_et >= SUPPORT.
-The support keeps words out that are seen once, which disclose everything in appearance.
+and the term is a span of kind ``term`` if PMI >= DISCLOSURE * IC still holds with UNSEEN more
+documents in n_t: as if one more had the term and not the entity.  This keeps words out that
+disclose everything only in appearance, because they are seen once in a small corpus, and
+leaves no entity out for being rare: one in a single document has terms from 2 ** 10 documents on.
 Terms are marked where they stand near that entity.  ``sanitise`` writes a text without
 its spans: patterns and terms become the name of their kind, and terms whose ratio is at
 least REMOVAL vanish.
 
 Every text is scanned by patterns once; term frequencies are counted over all words of
-all documents and only those of terms with enough support come back.
+all documents and only those of words near an entity come back.
 
 Patterns run in linear time: a digit pattern starts at the first digit of a run only
 (any later start in the run would fail as well), and an e-mail address is grown to the
@@ -43,7 +45,7 @@ from tessitura.llm.word_counts import packed_counts
 U = np.uint64
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT, REACH = 8, 160  # words, and characters, on either side of an entity
-DISCLOSURE, REMOVAL, SUPPORT = 0.9, 0.98, 3
+DISCLOSURE, REMOVAL, UNSEEN = 0.9, 0.98, 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -107,7 +109,7 @@ def context(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return before[-CONTEXT:] + after[:CONTEXT]
 
 
-FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int>>"
+FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<long>, near array<struct<entity:long,term:long,start:int,end:int>>"
 
 
 def span_text(spans: list[tuple[int, int, int]]) -> str:
@@ -128,23 +130,24 @@ def detect(docs: DataFrame) -> DataFrame:
             some = np.diff(np.concatenate([[0], np.cumsum(mark)])[offsets]) > 0
             rows, words = [], []
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                spans, near = [], {}
+                spans, entities, near = [], {}, {}
                 own = raw[offsets[i] : offsets[i + 1]].tobytes()
                 if some[i]:
                     text = own.decode()
                     spans = pattern_spans(text)
                     for a, k, b in spans:
                         entity = xxhash.xxh3_64_intdigest(f"{k}:{text[a:b].lower()}".encode()) >> 1
+                        entities[entity] = True
                         for s, e in context(text, a, b):
                             if (entity, s) not in near and not any(s < y and x < e for x, _, y in spans):
                                 near[entity, s] = e
                                 words.append(text[s:e])
                 counts = [sum(k == j for _, k, _ in spans) for j in range(4)]
-                rows.append((doc_id, f"{doc_id}:{xxhash.xxh3_128_hexdigest(own)}", *counts, hashlib.sha256(span_text(spans).encode()).hexdigest(), spans, near))
+                rows.append((doc_id, f"{doc_id}:{xxhash.xxh3_128_hexdigest(own)}", *counts, hashlib.sha256(span_text(spans).encode()).hexdigest(), spans, list(entities), near))
             hashes = iter((tokenise(pa.array(words, pa.string())).hashes(fold=True) >> U(1)).tolist())
             yield pa.RecordBatch.from_pylist(
                 [
-                    dict(zip(arrow.names, r[:7], strict=False)) | {"base": [{"start": a, "kind": k, "end": b} for a, k, b in r[7]], "near": [{"entity": e, "term": next(hashes), "start": s, "end": t} for (e, s), t in r[8].items()]}
+                    dict(zip(arrow.names, r[:7], strict=False)) | {"base": [{"start": a, "kind": k, "end": b} for a, k, b in r[7]], "entities": r[8], "near": [{"entity": e, "term": next(hashes), "start": s, "end": t} for (e, s), t in r[9].items()]}
                     for r in rows
                 ],
                 arrow,
@@ -180,29 +183,30 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame
     return packed_counts(docs.select("text"), words, n).unionByName(asked).repartition(n, "bucket").mapInArrow(answer, "term long, n_t long")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, parts: int, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(found: DataFrame, docs: DataFrame, parts: int, disclosure: float = DISCLOSURE, unseen: int = UNSEEN) -> DataFrame:
     """entity, term and ratio, PMI / IC, of each term that discloses an entity."""
     n = found.count()
-    near = found.where("size(near) > 0").select(F.explode("near").alias("x"), "row_key", F.monotonically_increasing_id().alias("row"))
-    pairs = near.groupBy("x.entity", "x.term").agg(F.countDistinct("row").alias("n_et")).where(F.col("n_et") >= support)
+    near = found.where("size(near) > 0").select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
+    pairs = near.groupBy("x.entity", "x.term").agg(F.count(F.lit(1)).alias("n_et"))
     pairs = kept(pairs, "disclosure-pairs")
-    entities = near.groupBy("x.entity").agg(F.countDistinct("row").alias("n_e"))
+    entities = found.where("size(entities) > 0").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     counted = pairs.join(entities, "entity").join(document_frequencies(docs, pairs, parts), "term")
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    return counted.withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("ratio") >= disclosure).select("entity", "term", "ratio")
+    pmi = lambda n_t: F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * n_t))
+    ratio = lambda n_t: F.when(ic > 0, pmi(n_t) / ic).otherwise(0.0)
+    return counted.where(ratio(F.col("n_t") + unseen) >= disclosure).select("entity", "term", ratio(F.col("n_t")).alias("ratio"))
 
 
-def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, unseen: int = UNSEEN) -> DataFrame:
     """doc_id, row_key, counts of the patterns, base_sha256, and spans: array<struct<start, kind, end, ratio>>."""
     found = kept(detect(docs), "pii")
-    terms = disclosing_terms(found, docs, buckets_for(docs), disclosure, support)
+    terms = disclosing_terms(found, docs, buckets_for(docs), disclosure, unseen)
     rows = found.where("size(near) > 0").select("row_key", F.explode("near").alias("x")).select("row_key", "x.*")
     marked = rows.join(terms, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("ratio").alias("ratio"))
     marked = marked.groupBy("row_key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "ratio")).alias("terms"))
     base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(None).cast("double").alias("ratio")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,ratio:double>>")
-    return found.join(marked, "row_key", "left").withColumn("spans", F.array_sort(F.concat(base, F.coalesce(F.col("terms"), none)))).drop("base", "near", "terms")
+    return found.join(marked, "row_key", "left").withColumn("spans", F.array_sort(F.concat(base, F.coalesce(F.col("terms"), none)))).drop("base", "entities", "near", "terms")
 
 
 def sanitise(text: str | None, spans: list, removal: float = REMOVAL) -> str:

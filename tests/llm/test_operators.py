@@ -292,6 +292,16 @@ def test_disclosing_terms(spark):
     assert clean[1] == "filler1 word  of the hill [email] said so" and clean[10] == texts[10]
 
 
+def test_rare_entities_have_terms(spark):
+    from tessitura.llm.pii import personal_data
+
+    texts = [f"some words of text number {i % 40} and so on" for i in range(2000)]
+    texts[7] = "write to Zorro of text x@y.example and so on"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in personal_data(docs).collect()}
+    assert found[7] == ["write", "to", "Zorro", "x@y.example"] and not any(v for k, v in found.items() if k != 7)
+
+
 def test_linear_patterns():
     from tessitura.llm.pii import pattern_spans
 
