@@ -11,11 +11,13 @@ and the term is a span of kind ``term`` if PMI >= DISCLOSURE * IC still holds wi
 documents in n_t: as if one more had the term and not the entity.  This keeps words out that
 disclose everything only in appearance, because they are seen once in a small corpus, and
 leaves no entity out for being rare: one in a single document has terms from 2 ** 10 documents on.
-Terms are marked where they stand near that entity.  ``sanitise`` writes a text without
+A term is marked wherever it stands in the texts that hold the entity.  ``sanitise`` writes a text without
 its spans: patterns and terms become the name of their kind, and terms whose ratio is at
 least REMOVAL vanish.
 
-Every text is scanned by patterns once; term frequencies are counted over all words of
+Every text is scanned by patterns once, and those with entities are kept for marking.  Their
+words meet the terms first and the entities after that: a term that discloses is in few
+documents, so that this grows with the texts and not with the square of an entity's documents.  Term frequencies are counted over all words of
 all documents and only those of words near an entity come back.
 
 Patterns run in linear time: a digit pattern starts at the first digit of a run only
@@ -44,7 +46,7 @@ from tessitura.llm.word_counts import packed_counts
 
 U = np.uint64
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT, REACH = 8, 160  # words, and characters, on either side of an entity
+CONTEXT = 8  # words on either side of an entity
 DISCLOSURE, REMOVAL, UNSEEN = 0.9, 0.98, 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -93,23 +95,32 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def context(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Spans of the whole words within CONTEXT words and REACH characters of a span."""
-    low, high = max(0, start - REACH), min(len(text), end + REACH)
-    before = [(m.start() + low, m.end() + low) for m in _WORD.finditer(text[low:start])]
-    if before and low and before[0][0] == low:
-        before = before[1:]  # perhaps not whole
-    if before and before[-1][1] == start:
-        before = before[:-1]
-    after = [(m.start() + end, m.end() + end) for m in _WORD.finditer(text[end:high])]
-    if after and after[0][0] == end:
-        after = after[1:]
-    if after and high < len(text) and after[-1][1] == high:
-        after = after[:-1]
-    return before[-CONTEXT:] + after[:CONTEXT]
+def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end."""
+    flat = np.fromiter((x for m in _WORD.finditer(text) for x in m.span()), np.int64)
+    return flat[::2], flat[1::2]
 
 
-FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<long>, near array<struct<entity:long,term:long,start:int,end:int>>"
+def outside(begins: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Whether each of some words shares no character with any of the spans, which are in order."""
+    if not spans:
+        return np.ones(len(begins), bool)
+    first = np.array([a for a, _, _ in spans])
+    furthest = np.maximum.accumulate([b for _, _, b in spans])  # of the spans up to each
+    before = np.searchsorted(first, ends)  # how many begin before the word's end
+    return (before == 0) | (furthest[np.maximum(before - 1, 0)] <= begins)
+
+
+def context(begins: np.ndarray, ends: np.ndarray, start: int, end: int) -> np.ndarray:
+    """The places of the whole words within CONTEXT words of a span."""
+    before, after = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(begins, end))
+    return np.r_[max(0, before - CONTEXT) : before, after : min(len(begins), after + CONTEXT)]
+
+
+FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, text string, entities array<long>, near array<struct<entity:long,term:long>>"
+
+
+MARKS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("ratio", pa.float64())]))
 
 
 def span_text(spans: list[tuple[int, int, int]]) -> str:
@@ -117,7 +128,7 @@ def span_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """The pattern spans of each row of docs(doc_id, text), and the words near them."""
+    """The pattern spans of each row of docs(doc_id, text); if there are any, the text, the entities and the words near them."""
     schema = T._parse_datatype_string(FOUND)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -128,34 +139,39 @@ def detect(docs: DataFrame) -> DataFrame:
             raw, offsets = text_bytes(batch.column(1))
             mark = (raw >= 48) & (raw <= 57) | (raw == 64)  # no span is without a digit or an @
             some = np.diff(np.concatenate([[0], np.cumsum(mark)])[offsets]) > 0
-            rows, words = [], []
+            rows = []
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                spans, entities, near = [], {}, {}
+                spans, entities, near, text = [], {}, {}, None
                 own = raw[offsets[i] : offsets[i + 1]].tobytes()
                 if some[i]:
                     text = own.decode()
                     spans = pattern_spans(text)
+                if spans:
+                    begins, ends = word_bounds(text)
+                    free = outside(begins, ends, spans)
+                    hashes = term_hashes(text)
                     for a, k, b in spans:
                         entity = xxhash.xxh3_64_intdigest(f"{k}:{text[a:b].lower()}".encode()) >> 1
                         entities[entity] = True
-                        for s, e in context(text, a, b):
-                            if (entity, s) not in near and not any(s < y and x < e for x, _, y in spans):
-                                near[entity, s] = e
-                                words.append(text[s:e])
+                        at = context(begins, ends, a, b)
+                        near |= dict.fromkeys((entity, h) for h in hashes[at[free[at]]].tolist())
                 counts = [sum(k == j for _, k, _ in spans) for j in range(4)]
-                rows.append((doc_id, f"{doc_id}:{xxhash.xxh3_128_hexdigest(own)}", *counts, hashlib.sha256(span_text(spans).encode()).hexdigest(), spans, list(entities), near))
-            hashes = iter((tokenise(pa.array(words, pa.string())).hashes(fold=True) >> U(1)).tolist())
-            yield pa.RecordBatch.from_pylist(
-                [
-                    dict(zip(arrow.names, r[:7], strict=False)) | {"base": [{"start": a, "kind": k, "end": b} for a, k, b in r[7]], "entities": r[8], "near": [{"entity": e, "term": next(hashes), "start": s, "end": t} for (e, s), t in r[9].items()]}
-                    for r in rows
-                ],
-                arrow,
-            )
+                rows.append(
+                    (
+                        doc_id, f"{doc_id}:{xxhash.xxh3_128_hexdigest(own)}", *counts, hashlib.sha256(span_text(spans).encode()).hexdigest(),
+                        [{"start": a, "kind": k, "end": b} for a, k, b in spans], text if spans else None, list(entities), [{"entity": e, "term": h} for e, h in near],
+                    )
+                )
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], arrow)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
 
 
+def term_hashes(text: str) -> np.ndarray:
+    """The hash of each word, without its lowest bit."""
+    return tokenise(pa.array([text], pa.string())).hashes(fold=True) >> U(1)
+
+
 def document_frequencies(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """term and n_t, in how many documents it is, for each of terms(term long): hashes without their lowest bit."""
 
@@ -186,7 +202,7 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame
 def disclosing_terms(found: DataFrame, docs: DataFrame, parts: int, disclosure: float = DISCLOSURE, unseen: int = UNSEEN) -> DataFrame:
     """entity, term and ratio, PMI / IC, of each term that discloses an entity."""
     n = found.count()
-    near = found.where("size(near) > 0").select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
+    near = found.where("size(near) > 0").select(F.explode("near").alias("x"))
     pairs = near.groupBy("x.entity", "x.term").agg(F.count(F.lit(1)).alias("n_et"))
     pairs = kept(pairs, "disclosure-pairs")
     entities = found.where("size(entities) > 0").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
@@ -197,16 +213,62 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, parts: int, disclosure:
     return counted.where(ratio(F.col("n_t") + unseen) >= disclosure).select("entity", "term", ratio(F.col("n_t")).alias("ratio"))
 
 
+def term_rows(texts: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """term and row of the texts(row, text) that have any of terms(term long)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            w = tokenise(batch.column(1))
+            bounds, h = sorted_sets(w.first, w.hashes(fold=True) >> U(1))
+            if len(h):
+                yield scatter(h, {"h": h, "row": np.repeat(batch.column(0).to_numpy(), np.diff(bounds)), "ask": np.zeros(len(h), bool)}, n)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().astype(U)
+            if len(h):
+                yield scatter(h, {"h": h, "row": np.zeros(len(h), np.int64), "ask": np.ones(len(h), bool)}, n)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = gather(batches, {"h": "<u8", "row": "<i8", "ask": "|b1"})
+        use = ~x["ask"] & np.isin(x["h"], x["h"][x["ask"]])
+        if use.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x["h"][use].astype(np.int64)), pa.array(x["row"][use])], ["term", "row"])
+
+    asked = terms.select("term").distinct().mapInArrow(ask, PACKED)
+    return texts.select("row", "text").mapInArrow(send, PACKED).unionByName(asked).repartition(n, "bucket").mapInArrow(meet, "term long, row long")
+
+
+def mark_terms(found: DataFrame, terms: DataFrame, parts: int) -> DataFrame:
+    """row_key and terms, the spans of the terms(entity, term, ratio) that disclose an entity of the row."""
+    some = found.where("size(entities) > 0").withColumn("row", F.xxhash64("row_key"))
+    held = some.select("row", F.explode("entities").alias("entity")).distinct()
+    own = term_rows(some, terms, parts).distinct().join(terms, "term").join(held, ["row", "entity"])
+    own = own.groupBy("row", "term").agg(F.max("ratio").alias("ratio")).groupBy("row").agg(F.collect_list(F.struct("term", "ratio")).alias("own"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                ratio = {x["term"]: x["ratio"] for x in terms}
+                begins, ends = word_bounds(text)
+                h = term_hashes(text)
+                use = np.flatnonzero(np.isin(h, np.array(list(ratio), U)) & outside(begins, ends, [(s["start"], s["kind"], s["end"]) for s in base]))
+                marks.append([{"start": a, "kind": KINDS.index("term"), "end": b, "ratio": ratio[t]} for a, b, t in zip(begins[use].tolist(), ends[use].tolist(), h[use].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, MARKS)], ["row_key", "terms"])
+
+    texts = some.dropDuplicates(["row_key"]).join(own, "row").select("row_key", "text", "base", "own")
+    return texts.mapInArrow(mark, "row_key string, terms array<struct<start:int,kind:int,end:int,ratio:double>>")
+
+
 def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, unseen: int = UNSEEN) -> DataFrame:
     """doc_id, row_key, counts of the patterns, base_sha256, and spans: array<struct<start, kind, end, ratio>>."""
     found = kept(detect(docs), "pii")
     terms = disclosing_terms(found, docs, buckets_for(docs), disclosure, unseen)
-    rows = found.where("size(near) > 0").select("row_key", F.explode("near").alias("x")).select("row_key", "x.*")
-    marked = rows.join(terms, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("ratio").alias("ratio"))
-    marked = marked.groupBy("row_key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "ratio")).alias("terms"))
+    marked = mark_terms(found, kept(terms, "disclosing-terms"), buckets_for(docs))
     base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(None).cast("double").alias("ratio")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,ratio:double>>")
-    return found.join(marked, "row_key", "left").withColumn("spans", F.array_sort(F.concat(base, F.coalesce(F.col("terms"), none)))).drop("base", "entities", "near", "terms")
+    return found.join(marked, "row_key", "left").withColumn("spans", F.array_sort(F.concat(base, F.coalesce(F.col("terms"), none)))).drop("base", "text", "entities", "near", "terms")
 
 
 def sanitise(text: str | None, spans: list, removal: float = REMOVAL) -> str:

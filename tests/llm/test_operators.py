@@ -302,6 +302,19 @@ def test_rare_entities_have_terms(spark):
     assert found[7] == ["write", "to", "Zorro", "x@y.example"] and not any(v for k, v in found.items() if k != 7)
 
 
+def test_terms_in_whole_texts(spark):
+    from tessitura.llm.pii import personal_data, sanitised
+
+    far = " and so on" * 100
+    texts = [f"some words of text number {i % 40} and so on" for i in range(2000)]
+    texts[5] = f"zorro of text{far} Zorro x@y.example and so on{far} ZORRO"
+    texts[6] = f"of text quixote http://{'a' * 300} w@z.example and so on"  # behind a long token
+    docs = spark.createDataFrame([*enumerate(texts), (5, texts[5])], "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in personal_data(docs).collect()}
+    assert found[5] == ["zorro", "Zorro", "x@y.example", "ZORRO"] and "quixote" in found[6]
+    assert "zorro" not in {r.doc_id: r.text for r in sanitised(docs).collect()}[5].lower()
+
+
 def test_linear_patterns():
     from tessitura.llm.pii import pattern_spans
 
