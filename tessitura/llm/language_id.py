@@ -7,9 +7,11 @@ are the mean over all its windows, weighed by their bytes; the prediction is the
 largest, its score that mean.
 
 The network is small and trained here, in numpy, with Adam, on windows of labelled texts: at
-most SAMPLE_DOCS documents for each of the MAX_LANGS most frequent languages, those
-with the smallest hash of their id, and WINDOWS_PER_DOC windows of each.  These
-are the bounds of what reaches the driver.  Training is seeded and sees its sample in one
+most SAMPLE_DOCS documents for each language, those with the smallest hash of their id, and
+WINDOWS_PER_DOC windows of each.  These are the bounds of what reaches the driver: about
+150 KB for each language, of which any number is learned.  Windows of under SHORT bytes are
+left out if their language has longer ones.  Beyond STEP_LANGS languages the steps of
+training grow with their number.  Training is seeded and sees its sample in one
 order, so that a second run gives the same network.
 
 Prediction covers every byte of every text.  The network goes to the executors as a broadcast
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +37,8 @@ from tessitura.llm.mixing import hash_unit
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 12
-MAX_LANGS, SAMPLE_DOCS, WINDOWS_PER_DOC = 64, 300, 2
-STEPS, BATCH, RATE, SEED = 500, 64, 0.02, 7
+SAMPLE_DOCS, WINDOWS_PER_DOC, SHORT = 300, 2, 32
+STEPS, STEP_LANGS, BATCH, RATE, SEED = 500, 64, 64, 0.02, 7
 UNKNOWN = "und"
 #: Bytes as the network sees them: A-Z in lower case, digits alike, separators and padding 0.
 _SEEN = np.arange(256, dtype=np.uint8)
@@ -78,12 +80,13 @@ class ByteNet:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return self._softmax(self.pooled(x)) if len(x) else np.zeros((0, len(self.langs)), np.float32)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> ByteNet:
+    def fit(self, x: np.ndarray, y: np.ndarray, pick: np.ndarray, steps: int = STEPS) -> ByteNet:
+        """Learns from the windows x[pick] of the languages y[pick]."""
         rng = np.random.default_rng(SEED + 1)
         params = [*self.tables.values(), self.bias, self.out, self.out_bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         for step in range(1, steps + 1):
-            i = rng.integers(0, len(x), BATCH)
+            i = pick[rng.integers(0, len(pick), BATCH)]
             xb, rows = x[i], np.arange(BATCH)[:, None]
             places, tops = {}, []
             for w in WIDTHS:
@@ -140,33 +143,31 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 def train_language_net(labelled: DataFrame) -> ByteNet | None:
     """A network from labelled(doc_id, text, lang); None if there is no labelled text."""
     labelled = labelled.where("text is not null and lang is not null and length(text) > 0")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return None
-    langs = sorted(r["lang"] for r in counts)
-    u = hash_unit("language", F.col("doc_id"))
+    counts = labelled.groupBy("lang").count()
     # twice the share that gives SAMPLE_DOCS: the hash may be uneven
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, 2 * SAMPLE_DOCS / r["count"]))))
+    shares = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), 2 * SAMPLE_DOCS / F.col("count")).alias("_share"))
+    u = hash_unit("language", F.col("doc_id"))
     length = F.length("text")
     pieces = F.concat(*(F.substring(F.col("text"), (F.floor(F.greatest(length - WINDOW, F.lit(0)) * (k / max(1, WINDOWS_PER_DOC - 1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_PER_DOC)))
-    sample = labelled.withColumn("_u", u).where(F.col("_u") < F.element_at(share, F.col("lang"))).select("lang", "_u", pieces.alias("piece"))
-    rows = sample.orderBy("_u", "lang", "piece").limit(2 * SAMPLE_DOCS * len(langs)).collect()
-    taken: dict[str, int] = {}
-    texts, y = [], []
-    for r in rows:
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= SAMPLE_DOCS:
-            texts.append(r.piece)
-            y.append(langs.index(r.lang))
+    sample = labelled.withColumn("_u", u).join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.col("_u") < F.col("_share")).select("lang", "_u", pieces.alias("piece"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "piece"))
+    rows = sample.withColumn("_nth", nth).where(F.col("_nth") <= SAMPLE_DOCS).select("lang", "_u", "piece").collect()
+    if not rows:
+        return None
+    rows.sort(key=lambda r: (r["_u"], r.lang, r.piece))
+    langs = sorted({r.lang for r in rows})
+    place = {v: k for k, v in enumerate(langs)}
+    texts, y = [r.piece for r in rows], [place[r.lang] for r in rows]
     raw, offsets = text_bytes(pa.array(texts, pa.string()))
     x, doc, used = windows(raw, offsets)
     own = np.array(y)[doc]
-    full = used >= min(32, used.max())
     # as many windows of each language, by repetition
-    by = [np.flatnonzero(full & (own == k)) for k in range(len(langs))]
+    order = np.argsort(own, kind="stable")
+    by = np.split(order, np.searchsorted(own[order], np.arange(1, len(langs))))
+    by = [b[used[b] >= SHORT] if (used[b] >= SHORT).any() else b for b in by]
     most = max(len(b) for b in by)
-    pick = np.concatenate([np.resize(b, most) for b in by if len(b)])
-    return ByteNet(langs).fit(x[pick], own[pick])
+    pick = np.concatenate([np.resize(b, most) for b in by])
+    return ByteNet(langs).fit(x, own, pick, STEPS * max(1, -(-len(langs) // STEP_LANGS)))
 
 
 def judge(texts: pa.Array, net: ByteNet | None) -> tuple[np.ndarray, np.ndarray]:

@@ -203,6 +203,21 @@ def test_op5(spark, small, rows):
     assert total > 5 and right / total > 0.9
 
 
+def test_all_languages_are_learned(spark):
+    from tessitura.llm.language_id import judge, train_language_net
+
+    rng = np.random.default_rng(8)
+    # 70 languages with letters of their own; the last one is the rarest and has short texts only
+    text = lambda k, n: " ".join("".join(chr(0x4E00 + 40 * k + int(j)) for j in rng.integers(0, 40, 3)) for _ in range(n))
+    docs = [(f"l{k:02}", text(k, 1 if k == 69 else 12)) for k in range(70) for _ in range(4 if k == 69 else 6)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(docs)]
+    net = train_language_net(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.langs == [f"l{k:02}" for k in range(70)]
+    got = judge(pa.array([t for _, t in docs]), net)[0]
+    right = [g == lang for g, (lang, _) in zip(got, docs, strict=True)]
+    assert any(right[-4:]) and sum(right) > 0.5 * len(right)
+
+
 def test_op6(spark, small, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
