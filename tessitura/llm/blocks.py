@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -209,6 +210,38 @@ def scatter(keys: np.ndarray, columns: dict[str, np.ndarray], n: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
 
+def ragged(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places begins[i] .. begins[i] + lengths[i] - 1 of all i, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def scatter_ragged(keys: np.ndarray, columns: dict[str, np.ndarray], begins: np.ndarray, lengths: np.ndarray, flat: np.ndarray, n: int) -> pa.RecordBatch:
+    """scatter() of records that each have a slice of flat besides; the slices follow the packed columns."""
+    rows = scatter(keys, columns | {"_at": np.arange(len(keys))}, n)
+    payloads = []
+    for p in rows.column(1):
+        own = unpack(p.as_buffer())
+        at = own.pop("_at")
+        payloads.append(pack(own) + flat[ragged(begins[at], lengths[at])].tobytes())
+    return pa.RecordBatch.from_arrays([rows.column(0), pa.array(payloads, pa.binary())], ["bucket", "payload"])
+
+
+def gather_ragged(batches: Iterator[pa.RecordBatch], schema: dict[str, str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """All records that a task has received, and their slices of uint64 one after the other."""
+    parts: dict[str, list[np.ndarray]] = {k: [] for k in schema}
+    flat = [np.zeros(0, _U)]
+    for batch in batches:
+        for payload in batch.column(batch.schema.get_field_index("payload")):
+            raw = payload.as_buffer()
+            own = unpack(raw)
+            head = 8 + int(np.frombuffer(raw, "<u4", 1)[0]) + sum(v.nbytes for v in own.values())
+            flat.append(np.frombuffer(raw[head:], np.uint8).view("<u8") if len(raw) > head else flat[0])
+            for k, v in own.items():
+                parts[k].append(v)
+    return {k: np.concatenate([np.zeros(0, schema[k]), *v]) for k, v in parts.items()}, np.concatenate(flat)
+
+
 def gather(batches: Iterator[pa.RecordBatch], schema: dict[str, str]) -> dict[str, np.ndarray]:
     """All records that a task has received, in one array for each column."""
     parts: dict[str, list[np.ndarray]] = {k: [] for k in schema}
@@ -219,6 +252,37 @@ def gather(batches: Iterator[pa.RecordBatch], schema: dict[str, str]) -> dict[st
     return {k: np.concatenate([np.zeros(0, schema[k]), *v]) for k, v in parts.items()}
 
 
+#: Partitions of an exchange; beyond that a task settles several buckets, one after the other.
+PARTITIONS = 100_000
+
+
+def exchange(df: DataFrame, n: int, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
+    """Deals packed rows of n buckets out to tasks, which run f.
+
+    f sees whole buckets.  Up to PARTITIONS buckets a task holds the few that hash to it at
+    once; where there are more, Spark sorts a task's rows by bucket, spilling to disk, and f
+    runs on one bucket after the other, so that no task holds more than a bucket.
+    """
+    parts = parts or PARTITIONS
+    dealt = df.repartition(min(n, parts), "bucket")
+    if n <= parts:
+        return dealt.mapInArrow(f, schema)
+
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in groupby(_cut_by_bucket(batches), key=lambda x: x[0]):
+            yield from f(batch for _, batch in own)
+
+    return dealt.sortWithinPartitions("bucket").mapInArrow(by_bucket, schema)
+
+
+def _cut_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        bucket = batch.column(batch.schema.get_field_index("bucket")).to_numpy()
+        begins, counts = runs(bucket)
+        for a, c in zip(begins.tolist(), counts.tolist(), strict=True):
+            yield int(bucket[a]), batch.slice(a, c)
+
+
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal keys begins, and how long it is."""
     if not len(sorted_keys):
@@ -243,12 +307,12 @@ def sorted_sets(bounds: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarr
 UNKNOWN_SIZE, ROW_BYTES = 1 << 60, 4096
 
 
-def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 16, most: int = 100_000) -> int:
-    """A number of buckets in proportion to the size that the planner knows of df."""
+def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 16) -> int:
+    """A number of buckets in proportion to the size that the planner knows of df, without a limit."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= UNKNOWN_SIZE:  # rows of a driver or an RDD: the planner doesn't know
         size = df.count() * ROW_BYTES
-    return max(least, min(most, size // bytes_each))
+    return max(least, size // bytes_each)
 
 
 def shared_folder(spark: SparkSession) -> str:

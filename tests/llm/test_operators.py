@@ -69,30 +69,94 @@ def test_op1(spark, small, rows):
     assert sum(a != c for a, _, c, _ in got) > 10
 
 
-def test_op2(spark, small, rows):
+def repeats_by_hand(rows):
+    """(doc_id, words, removed, digest of the rest) of each (doc_id, text)."""
+    of = lambda d: -math.inf if d is None else d
     first = {}
-    for d, t in ((r[0], r[1]) for r in rows):
+    for d, t in rows:
         w = words(t)
         for i in range(len(w) - 19):
-            place, key = (-math.inf if d is None else d, i), tuple(w[i : i + 20])
-            first[key] = min(first.get(key, place), place)
-    # rows that share an id share its repeats
-    marks = collections.defaultdict(set)
-    for d, t in ((r[0], r[1]) for r in rows):
-        w = words(t)
+            key = tuple(w[i : i + 20])
+            first[key] = min(first.get(key, math.inf), of(d))
+    out = []
+    for d, t in rows:
+        w, seen, gone = words(t), set(), set()
         for i in range(len(w) - 19):
-            if first[tuple(w[i : i + 20])] < (-math.inf if d is None else d, i):
-                marks[d].update(range(i, i + 20))
-    expected = []
-    for r in rows:
-        w = words(r[1])
-        left = [x for i, x in enumerate(w) if i not in marks[r[0]]]
-        expected.append((r[0], len(w), len(w) - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest()))
-    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in run(spark, "op2_substring_dedup", small)]
-    assert sorted(got, key=str) == sorted(expected, key=str)
+            key = tuple(w[i : i + 20])
+            if first[key] < of(d) or key in seen:
+                gone.update(range(i, i + 20))
+            seen.add(key)
+        left = [x for i, x in enumerate(w) if i not in gone]
+        out.append((d, len(w), len(gone), hashlib.sha256(" ".join(left).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def removed(df):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()), key=str)
+
+
+def test_op2(spark, small, rows):
+    got = removed(registry.QUERIES["op2_substring_dedup"](spark, small))
+    assert got == repeats_by_hand([(r[0], r[1]) for r in rows])
     assert sum(x[2] for x in got) > 500
 
 
+def passages(seed=3):
+    """Texts with passages in common: at edges, overlapping, in one text twice, periodic, and rows that share an id."""
+    rng = np.random.default_rng(seed)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    common, long, period = own(30), own(90), own(7) * 9
+    out = []
+    for i in range(60):
+        a, b = sorted(rng.integers(0, 91, 2))
+        parts = [own(rng.integers(0, 30)), common if i % 2 else common[: rng.integers(15, 31)], own(rng.integers(0, 3)), long[a:b], own(rng.integers(0, 4))]
+        if i % 9 == 0:
+            parts += [own(2), common, period]
+        out.append((int(rng.integers(0, 50)), " ".join(w for p in parts for w in p)))
+    return [*out, (None, out[0][1]), (None, out[3][1]), out[5], (1000, " ".join(own(20000) + long)), (1001, " ".join(period))]
+
+
+@pytest.mark.parametrize("subtree", [200_000, 40])
+def test_op2_prefixes(spark, subtree):
+    from tessitura.llm import substring_dedup as S
+
+    rows = passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert removed(S.remove_repeats(S.find_repeats(docs, subtree=subtree))) == repeats_by_hand(rows)
+    # prefixes of 6 words, or of 13 and 20 as well
+    keyed = docs.selectExpr("coalesce(doc_id, -1) doc", "cast(hash(text) as int) th", "text")
+    full, fuller = S.long_prefixes(keyed, S.repeated_anchors(keyed, 20, 16, subtree).persist(), 20, 16, subtree)
+    t = S.Texts(pa.RecordBatch.from_pydict({"text": [r[1] for r in rows]}), 20)
+    long = S.member(full, t.anchors()[1])
+    whole = S.member(fuller, t.run_hashes(S.half(20))[t.at])
+    assert (long.any(), (long & ~whole).any(), (long & whole).any()) == (subtree == 40,) * 3 and not long.all()
+
+
+def test_op2_rows_of_one_id(spark):
+    from tessitura.llm import substring_dedup as S
+
+    rng = np.random.default_rng(9)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(3))
+    rows = [(1, a), (2, f"{a} {b}"), (2, c), (3, f"{c} {c}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = removed(S.remove_repeats(S.find_repeats(docs)))
+    assert got == repeats_by_hand(rows) and [x[2] for x in got] == [0, 0, 40, 80]
+
+
+def test_op2_collisions(spark):
+    from tessitura.llm import substring_dedup as S
+
+    rng = np.random.default_rng(12)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 10**6, 45)) for _ in range(30)])
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(30)), "th": [0] * 30, "text": texts}, pa.schema([("doc", pa.int64()), ("th", pa.int32()), ("text", pa.string())]))
+    found = S.Texts(batch, 20).anchors()[1]
+    batch = batch.append_column("anchors", pa.array([np.unique(found).tobytes()] * 30, pa.binary()))
+    suffixes = S.suffixes_of(batch, 20, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    suffixes.x["prefix"][:] = 5  # as if all prefixes had one hash
+    marks, rest = suffixes.settled()
+    assert len(rest) == len(suffixes) > 60 and not len(marks["doc"]) and not len(rest.repeats()["doc"])
+
+
 def edit(item, text):
     col = list(range(len(item) + 1))
     best = len(item)
