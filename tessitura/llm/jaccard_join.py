@@ -14,21 +14,28 @@ Documents whose sets of distinct word 3-grams have Jaccard similarity of at leas
    indexed.  For each prefix n-gram the groups that hold it are counted.  A group in
    which fewer than l of them are shared cannot link to another group.  Two of the rest
    that link share one of their first (shared - l + 1) n-grams, the ones in fewest
-   groups first; all groups that do so come into one family.
-4. *Verify.*  The families are expanded to their classes, whose whole sets are read.
-   A family is cut into blocks of bounded size and each pair of blocks is one unit of
-   work: pairs of groups of fitting sizes are counted exactly by a matrix product over
-   the n-grams, in slices.  A unit returns a spanning forest of its links and how many
-   links each class has, never all pairs.
-5. Connected components of the links give the result.
+   groups first; all groups that do so come into one family, which is the unit of routing.
+4. *Group pairs.*  A family is cut into blocks of bounded size.  For each pair of blocks
+   the groups meet with their prefixes alone, and pairs of groups are filtered: their sizes
+   must fit and their prefixes share l n-grams.  What comes out is not the pairs but, for each
+   group, the blocks with a group that it may link to.
+5. *Verify.*  Those groups are expanded to their classes, whose whole sets are sent once to
+   each pair of blocks where they are wanted.  There the group pairs are filtered again and the
+   members of those left are counted exactly by a matrix product over the n-grams, in
+   slices.  A unit returns a spanning forest of its links and how many links each class has, never
+   all pairs.
+6. Connected components of the links give the result.
 
 Sizes: the sketch is 4 MB whatever the corpus; a common n-gram sends
 to one task at most COMMON records for each batch of groups.  Within a group of near copies the number of comparisons is the
-square of its distinct texts, spread over block pairs.
+square of its distinct texts, spread over block pairs.  Classes of very many copies, of which
+there are few, meet their copies by a broadcast of at most HEAVY rows.
 
 Defined results: a null or wordless text has an empty set and links to nothing; a document
 whose doc_id is null takes part in no link and has a null component; rows that repeat a doc_id
-are separate documents of one id, each with the links of its own text.
+are separate documents of one id, each with the links of its own text; ties don't arise, as
+similarity is compared in whole numbers.  A text of any length is one set; it is counted
+by itself if it is longer than a chunk.  Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.blocks import PACKED, buckets_for, chunks, gather, kept, mix, runs, scatter, sorted_sets, tokenise
+from tessitura.llm.blocks import PACKED, buckets_for, chunks, exchange, gather, kept, mix, runs, scatter, sorted_sets, tokenise
 from tessitura.llm.components import connected_components, forest
 
 U = np.uint64
@@ -49,8 +56,10 @@ SKETCH_BITS = 20
 SKETCH_SLICE = 1 << 14
 COMMON = 64  # groups from which on an n-gram is just a common one
 BLOCK = 1024  # classes in a block of a family
+SPREAD, SMALL_BLOCK = 16, 128  # a smaller family has blocks of SMALL_BLOCK, SPREAD of them at most
 BLOCK_GRAMS = 1_000_000  # n-grams in a block of a family
 SLICE = 2048  # n-grams in a slice of the matrix product
+HEAVY = 10_000  # classes, at most, that have more than 1 / HEAVY of all documents
 
 
 def ceil_share(n, num: int, den: int):
@@ -163,7 +172,7 @@ def shared_grams(groups: DataFrame, n: int) -> DataFrame:
             x["token"] = np.concatenate([np.zeros(0, U), *(np.frombuffer(p.as_buffer(), U) for p in prefixes)])
             if not len(x["token"]):
                 continue
-            order = np.argsort(x["token"], kind="stable")
+            order = np.lexsort((x["gid"], x["token"]))
             x = {c: v[order] for c, v in x.items()}
             begins, counts = runs(x["token"])
             common = np.repeat(counts, counts) > COMMON
@@ -195,7 +204,7 @@ def shared_grams(groups: DataFrame, n: int) -> DataFrame:
         if use.any():
             yield scatter(x["gid"][use].view(U), {c: v[use] for c, v in x.items()}, n)
 
-    return groups.select("gid", "n", "prefix").mapInArrow(post, f"kind int, {PACKED}").repartition(n, "bucket").mapInArrow(meet, PACKED)
+    return exchange(groups.select("gid", "n", "prefix").mapInArrow(post, f"kind int, {PACKED}"), n, meet, PACKED)
 
 
 def family_links(shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -214,7 +223,7 @@ def family_links(shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
         keep = (have >= need) & (place <= have - need + 1)
         yield pa.RecordBatch.from_arrays([pa.array(gid[keep]), pa.array(-(token[keep] >> U(1)).astype(np.int64) - 1)], ["a", "b"])
 
-    return shared.repartition(n, "bucket").mapInArrow(link, "a long, b long")
+    return exchange(shared, n, link, "a long, b long")
 
 
 def count_overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -243,72 +252,95 @@ def count_overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out.astype(np.int64)
 
 
+def fitting(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of sets of these sizes may link."""
+    small, large = np.minimum.outer(n, m), np.maximum.outer(n, m)
+    return den * small >= num * large
+
+
+def prefix_of(grams: np.ndarray, num: int, den: int) -> np.ndarray:
+    n = len(grams)
+    return grams[: n - ceil_share(n, num, den) + least_shared(n, num, den)]
+
+
+def group_pairs(n: np.ndarray, prefixes: list[np.ndarray], m: np.ndarray, others: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which groups (sizes n, prefixes) and others (m, others) may link: their sizes fit and their prefixes share enough.
+
+    Of two sets that link, the l-th n-gram that both have is among the first
+    n - ceil(t n) + l ones of either, so that their prefixes share the smaller l of the two.
+    """
+    fits = fitting(n, m, num, den)
+    use = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+    if len(use[0]):
+        left = [prefixes[i] for i in use[0]]
+        both = count_overlaps(left, left if prefixes is others and np.array_equal(*use) else [others[i] for i in use[1]])
+        least = np.minimum.outer(least_shared(n[use[0]], num, den), least_shared(m[use[1]], num, den))
+        fits[np.ix_(*use)] &= both >= least
+    return fits
+
+
 def verify_unit(rows: dict[str, list], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A pair of blocks: (a, b) of a spanning forest of its links; (class, number of documents linked).
 
-    Pairs of groups are ruled out by their sizes and what their prefixes share before
-    the members of any are compared.
+    Rows have side (0 or 1, or all 0 for a block with itself), node, copies, gid and grams.
+    Pairs of groups are filtered before the members of any are compared.
     """
-    side = np.array(rows["side"])
+    _, own = np.unique(np.array(rows["node"], np.int64), return_index=True)  # a class once, whatever rows repeat it
+    side, node, copies, gid = (np.array(rows[c], np.int64)[own] for c in ("side", "node", "copies", "gid"))
+    sets = [rows["grams"][i] for i in own]
     one = not (side == 1).any()
     left = np.flatnonzero(side == 0)
     right = left if one else np.flatnonzero(side == 1)
     none = np.zeros(0, np.int64)
     if not len(left) or not len(right):
         return none, none, none, none
-    rep, copies = np.array(rows["rep"], np.int64), np.array(rows["copies"], np.int64)
-    sets = rows["grams"]
     n = np.array([len(s) for s in sets], np.int64)
-    small, large = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
-    fits = den * small >= num * large
+
+    def groups(members: np.ndarray):
+        _, first, which = np.unique(gid[members], return_index=True, return_inverse=True)
+        return n[members[first]], [prefix_of(sets[i], num, den) for i in members[first]], which
+
+    ours = groups(left)
+    theirs = ours if one else groups(right)
+    pairs = group_pairs(*ours[:2], *theirs[:2], num, den)
+    if one:
+        pairs[np.diag_indices(len(pairs))] = True  # members of one group
+    fits = pairs[np.ix_(ours[2], theirs[2])]
     if one:
         fits &= ~np.eye(len(left), dtype=bool)
     use = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
     if not len(use[0]):
         return none, none, none, none
     left, right, fits = left[use[0]], right[use[1]], fits[np.ix_(*use)]
-    ours = [sets[i] for i in left]
-    if np.array_equal(left, right):
-        both = count_overlaps(ours, ours)
-        both[np.diag_indices(len(left))] = 0
-    else:
-        both = count_overlaps(ours, [sets[i] for i in right])
+    whole = [sets[i] for i in left]
+    both = count_overlaps(whole, whole if np.array_equal(left, right) else [sets[i] for i in right])
     linked = fits & (den * both >= num * (n[left][:, None] + n[right][None, :] - both))
     i, j = np.nonzero(linked)
-    a, b = forest(rep[left][i], rep[right][j])
-    who = np.concatenate([rep[left], none if one else rep[right]])
+    a, b = forest(node[left][i], node[right][j])
+    who = np.concatenate([node[left], none if one else node[right]])
     many = np.concatenate([linked @ copies[right], none if one else linked.T @ copies[left]])
     return a, b, who[many > 0], many[many > 0]
 
 
-def verified(classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, order, parts: int) -> DataFrame:
-    """classes(rep, set_id, copies, family, blocks) to (a, b, links): a spanning forest, b null where links counts those of a."""
+UNIT = "family long, i int, j int, side int"
+
+
+def block_of(gid: np.ndarray, part: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return (mix(mix(gid.view(U)) + part.view(U)) % blocks.astype(U)).astype(np.int64)
+
+
+def units_of(own: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(which, family places): each item of block own[k] in every pair of blocks that its block is in."""
+    which = np.repeat(np.arange(len(own)), blocks)
+    other = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    mine = own[which]
+    return which, {"i": np.minimum(mine, other), "j": np.maximum(mine, other), "side": (mine > other).astype(np.int64)}
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            bounds, keys = ordered_sets(batch, k, order.value)
-            prints = fingerprints(bounds, keys)
-            out: dict[str, list] = {c: [] for c in ("family", "i", "j", "side", "rep", "copies", "grams")}
-            _, *rest = (batch.column(c).to_pylist() for c in ("text", "rep", "set_id", "copies", "family", "blocks"))
-            for at, (rep, set_id, copies, family, blocks) in enumerate(zip(*rest, strict=True)):
-                if prints[at] != set_id:  # another text of the same id
-                    continue
-                own = int(mix(np.array([rep]).view(U))[0] % U(blocks))
-                for other in range(blocks):
-                    i, j = min(own, other), max(own, other)
-                    for c, v in zip(out, (family, i, j, int(own == j and i != j), rep, copies, keys[bounds[at] : bounds[at + 1]].tobytes()), strict=True):
-                        out[c].append(v)
-            if out["rep"]:
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("family", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())]))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: dict[str, list]) -> pa.RecordBatch:
-            a, b, who, many = verify_unit(rows, num, den)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a, who])), pa.array([*b.tolist(), *[None] * len(who)], pa.int64()), pa.array(np.concatenate([np.zeros(len(a), np.int64), many]))],
-                ["a", "b", "links"],
-            )
 
+def by_unit(f):
+    """Rows in order of (family, i, j), the first columns, to f(columns of a unit), unit by unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, {}
         for batch in batches:
             family, i, j = (batch.column(c).to_numpy() for c in (0, 1, 2))
@@ -316,57 +348,147 @@ def verified(classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, or
             for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
                 if a == b:
                     continue
-                if (now := (family[a], i[a], j[a])) != key:
+                if (now := (int(family[a]), int(i[a]), int(j[a]))) != key:
                     if rows:
-                        yield done(rows)
-                    key, rows = now, {"side": [], "rep": [], "copies": [], "grams": []}
+                        yield f(key, rows)
+                    key, rows = now, {c: [] for c in batch.schema.names[3:]}
                 part = batch.slice(a, b - a)
-                for c in ("side", "rep", "copies"):
-                    rows[c] += part.column(part.schema.get_field_index(c)).to_pylist()
-                rows["grams"] += [np.frombuffer(x.as_buffer(), U) for x in part.column(6)]
+                for c in rows:
+                    x = part.column(part.schema.get_field_index(c))
+                    rows[c] += [np.frombuffer(v.as_buffer(), U) for v in x] if pa.types.is_binary(x.type) else x.to_pylist()
         if rows:
-            yield done(rows)
+            yield f(key, rows)
+
+    return run
+
+
+def candidate_units(groups: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """groups(gid, part, n, members, family, blocks, prefix) to gid, part, family, i, j and side: where a group has one that it may link to, or members of its own to compare."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gid, part, n, members, family, blocks = (batch.column(c).to_numpy().astype(np.int64) for c in range(6))
+            which, at = units_of(block_of(gid, part, blocks), blocks)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(family[which]), *(pa.array(at[c], pa.int32()) for c in ("i", "j", "side")), *(pa.array(x[which]) for x in (gid, part, n, members)), batch.column(6).take(pa.array(which))],
+                ["family", "i", "j", "side", "gid", "part", "n", "members", "prefix"],
+            )
+
+    def filter_pairs(key: tuple[int, int, int], rows: dict[str, list]) -> pa.RecordBatch:
+        x = np.array([rows[c] for c in ("gid", "part", "side", "n", "members")], np.int64)
+        x, first = np.unique(x, axis=1, return_index=True)  # rows that repeat a document have its prefix again
+        gid, part, side, n, members = x
+        prefixes = [rows["prefix"][i] for i in first]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if key[1] == key[2]:
+            pairs = group_pairs(n, prefixes, n, prefixes, num, den)
+            pairs[np.diag_indices(len(n))] = members > 1
+            wanted = np.flatnonzero(pairs.any(axis=1))
+        else:
+            pairs = group_pairs(n[left], [prefixes[i] for i in left], n[right], [prefixes[i] for i in right], num, den)
+            wanted = np.concatenate([left[pairs.any(axis=1)], right[pairs.any(axis=0)]])
+        k = len(wanted)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(gid[wanted]), pa.array(part[wanted]), pa.array(np.full(k, key[0])), *(pa.array(np.full(k, v), pa.int32()) for v in key[1:]), pa.array(side[wanted], pa.int32())],
+            ["gid", "part", "family", "i", "j", "side"],
+        )
+
+    placed = groups.select("gid", "part", "n", "members", "family", "blocks", "prefix").mapInArrow(place, f"{UNIT}, gid long, part long, n long, members long, prefix binary")
+    return placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(by_unit(filter_pairs), f"gid long, part long, {UNIT}")
+
+
+def verified(classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, order, parts: int) -> DataFrame:
+    """classes(node, rep, set_id, copies, gid, units) to (a, b, links): a spanning forest, b null where links counts those of a."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            bounds, keys = ordered_sets(batch, k, order.value)
+            prints = fingerprints(bounds, keys)
+            out: dict[str, list] = {c: [] for c in ("family", "i", "j", "side", "node", "copies", "gid", "grams")}
+            _, *rest = (batch.column(c).to_pylist() for c in ("text", "node", "set_id", "copies", "gid", "units"))
+            for at, (node, set_id, copies, gid, units) in enumerate(zip(*rest, strict=True)):
+                if prints[at] != set_id:  # another text of the same id
+                    continue
+                grams = keys[bounds[at] : bounds[at + 1]].tobytes()
+                for u in units:
+                    for c, v in zip(out, (u["family"], u["i"], u["j"], u["side"], node, copies, gid, grams), strict=True):
+                        out[c].append(v)
+            if out["node"]:
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("family", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("gid", pa.int64()), ("grams", pa.binary())]))
+
+    def done(key: tuple[int, int, int], rows: dict[str, list]) -> pa.RecordBatch:
+        a, b, who, many = verify_unit(rows, num, den)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([a, who])), pa.array([*b.tolist(), *[None] * len(who)], pa.int64()), pa.array(np.concatenate([np.zeros(len(a), np.int64), many]))],
+            ["a", "b", "links"],
+        )
 
     placed = (
         docs.select("doc_id", "text").join(classes.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
-        .select("text", "rep", "set_id", "copies", "family", "blocks")
-        .mapInArrow(place, "family long, i int, j int, side int, rep long, copies long, grams binary")
+        .select("text", "node", "set_id", "copies", "gid", "units")
+        .mapInArrow(place, f"{UNIT}, node long, copies long, gid long, grams binary")
     )
-    return placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(verify, "a long, b long, links long")
+    return placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(by_unit(done), "a long, b long, links long")
+
+
+def with_classes(signed: DataFrame, by_class: DataFrame, n: int) -> DataFrame:
+    """signed with the columns of its class; those without a set, and those in classes of very many, don't meet in one task."""
+    heavy = F.col("copies") > max(1, n // HEAVY)
+    few, rest = by_class.where(heavy), by_class.where(~heavy)
+    known = F.broadcast(few.select(F.col("set_id").alias("_heavy"), F.struct("component", "links").alias("_h")))  # HEAVY rows at most
+    alone = signed.where("set_id is null").withColumn("_c", F.lit(None).cast("struct<component:long,links:long>"))
+    joined = signed.where("set_id is not null").join(known, F.col("set_id") == F.col("_heavy"), "left").drop("_heavy")
+    hot = joined.where("_h is not null").withColumnRenamed("_h", "_c")
+    cold = joined.where("_h is null").drop("_h").join(rest.select("set_id", F.struct("component", "links").alias("_c")), "set_id", "left")
+    return alone.unionByName(hot).unionByName(cold).select(*signed.columns, "_c.component", "_c.links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id, n_links: one row for each row of docs."""
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = buckets_for(docs)
     order = spark.sparkContext.broadcast(size_classes(sketch(docs, k)))
     signed = kept(signatures(docs, k, num, den, order), "signatures")
     classes = signed.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix_id").alias("prefix_id")
     )
-    classes = kept(classes, "classes")
+    # a number for each class: an id may stand for two texts.  It is written, so that it stays
+    classes = kept(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     keyed = classes.where("prefix_id is not null")
-    groups = kept(keyed.groupBy("n", "prefix_id").agg(F.min_by("set_id", "rep").alias("set_id"), F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
-    prefixes = signed.select(F.col("doc_id").alias("gid"), "set_id", "n", "prefix").join(groups.select("gid", "set_id"), ["gid", "set_id"])
+    first = F.min(F.struct("node", "rep", "set_id")).alias("first")
+    groups = kept(keyed.groupBy("n", "prefix_id").agg(first, F.count(F.lit(1)).alias("members")).select("n", "prefix_id", "members", F.col("first.node").alias("gid"), "first.rep", "first.set_id"), "groups")
+    prefixes = signed.select(F.col("doc_id").alias("rep"), "set_id", "prefix").join(groups, ["rep", "set_id"]).select("gid", "n", "members", "prefix")
     links = family_links(shared_grams(prefixes, parts), parts, num, den)
     links = kept(links.unionByName(groups.where("members > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))), "families")
     families = connected_components(links)
-    grouped = keyed.select("rep", "set_id", "copies", "n", "prefix_id").join(groups.select("n", "prefix_id", "gid"), ["n", "prefix_id"])
-    alive = links.select(F.col("a").alias("gid")).distinct().join(families.withColumnRenamed("node", "gid"), "gid", "left")
-    candidates = kept(grouped.join(alive, "gid").select("rep", "set_id", "copies", "n", F.coalesce("component", "gid").alias("family")), "candidates")
-    sizes = candidates.groupBy("family").agg(F.count(F.lit(1)).alias("_n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")).where("_n > 1").drop("_n")
-    found = kept(verified(candidates.drop("n").join(sizes, "family"), docs, k, num, den, order, parts), "links")
+    alive = links.select(F.col("a").alias("gid")).distinct().join(families.withColumnRenamed("node", "gid"), "gid", "left").select("gid", F.coalesce("component", "gid").alias("family"))
+    alive = kept(alive.join(groups.select("gid", "n", "members"), "gid"), "alive")
+    # a block is bounded by the classes that its groups have, and by their n-grams
+    total = F.sum("members")
+    blocks = F.greatest(F.ceil(total / BLOCK), F.least(F.lit(SPREAD), F.ceil(total / SMALL_BLOCK)), F.ceil(F.sum(F.col("members") * F.col("n")) / BLOCK_GRAMS)).cast("int")
+    sizes = alive.groupBy("family").agg(total.alias("_n"), blocks.alias("blocks")).where("_n > 1").drop("_n")
+    # a group of many classes goes to the blocks in parts
+    in_parts = F.ceil(F.col("members") / SMALL_BLOCK).cast("long")
+    part = lambda key: F.pmod(F.xxhash64(key), in_parts)
+    split = alive.join(sizes, "family").join(prefixes.select("gid", "prefix"), "gid").withColumn("part", F.explode(F.sequence(F.lit(0), in_parts - 1)))
+    placed = split.select("gid", F.col("part").cast("long").alias("part"), "n", F.when(in_parts > 1, SMALL_BLOCK).otherwise(F.col("members")).cast("long").alias("members"), "family", "blocks", "prefix")
+    units = candidate_units(placed, num, den, parts).groupBy("gid", "part").agg(F.collect_list(F.struct("family", "i", "j", "side")).alias("units"))
+    expanded = keyed.select("node", "rep", "set_id", "copies", "n", "prefix_id").join(groups.select("n", "prefix_id", "gid", "members"), ["n", "prefix_id"]).withColumn("part", part("node"))
+    candidates = expanded.join(units, ["gid", "part"]).select("node", "rep", "set_id", "copies", "gid", "units")
+    found = kept(verified(kept(candidates, "candidates"), docs, k, num, den, order, parts), "links")
     components = connected_components(found.where("b is not null").select("a", "b"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    # the smallest id of a component
+    linked = kept(components.join(classes.select("node", "rep"), "node"), "components")
+    lowest = linked.groupBy("component").agg(F.min("rep").alias("lowest"))
+    own = linked.join(lowest, "component").select("node", "lowest")
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     by_class = (
-        classes.select("set_id", "rep", "copies")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-        .select("set_id", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    )
-    return (
-        signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(by_class, "set_id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+        classes.select("set_id", "rep", "copies", "node").join(own, "node", "left").join(counts, "node", "left")
+        .select("set_id", "copies", F.coalesce("lowest", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+    return with_classes(rows, by_class, signed.count()).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

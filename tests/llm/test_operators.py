@@ -43,7 +43,8 @@ def test_words():
     assert h[0] == h[2] and h[1] == h[3] and h[4] == h[7] and h[5] == h[6] and len(set(h)) == 4
 
 
-def test_op1(spark, small, rows):
+def components_by_hand(rows):
+    """(doc_id, size, component, links) of each (doc_id, text)."""
     sets = [(r[0], frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])) for r in rows for w in [words(r[1], True)]]
     parent = list(range(len(sets)))
 
@@ -63,12 +64,75 @@ def test_op1(spark, small, rows):
     for i, (a, _) in enumerate(sets):
         if a is not None:
             low[find(i)].append(a)
-    expected = sorted(((a, len(x), min(low[find(i)]) if a is not None else None, links[i]) for i, (a, x) in enumerate(sets)), key=str)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in run(spark, "op1_jaccard_join", small)), key=str)
-    assert got == expected
+    return sorted(((a, len(x), min(low[find(i)]) if a is not None else None, links[i]) for i, (a, x) in enumerate(sets)), key=str)
+
+
+def linked(df):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in df.collect()), key=str)
+
+
+def test_op1(spark, small, rows):
+    got = linked(registry.QUERIES["op1_jaccard_join"](spark, small))
+    assert got == components_by_hand([(r[0], r[1]) for r in rows])
     assert sum(a != c for a, _, c, _ in got) > 10
 
 
+def test_op1_repeated_rows(spark):
+    from tessitura.llm.jaccard_join import jaccard_components
+
+    rng = np.random.default_rng(2)
+    w = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
+    v = [f"v{x}" for x in rng.integers(0, 10**6, 100)]
+    near = lambda x: " ".join([*x[:-1], "end"])
+    rows = [(7, " ".join(w)), (7, " ".join(w)), (8, near(w)), (5, " ".join(v)), (8, near(v)), (9, " ".join(v)), (None, " ".join(w)), (3, "one"), (2, "one"), (4, None)]
+    got = linked(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert got == components_by_hand(rows)
+    assert [x[3] for x in got if x[0] == 7] == [2, 2] and [x[2:] for x in got if x[0] == 8] == [(5, 2), (7, 2)]
+
+
+def test_op1_large_family(spark, monkeypatch):
+    from tessitura.llm import jaccard_join as J
+
+    # groups of one prefix with many classes, several blocks, and groups that fit in size alone
+    monkeypatch.setattr(J, "SMALL_BLOCK", 6)
+    monkeypatch.setattr(J, "SPREAD", 4)
+    monkeypatch.setattr(J, "BLOCK", 10)
+    rng = np.random.default_rng(21)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(i % 4):
+            own[rng.integers(0, 150)] = f"n{rng.integers(0, 40)}"
+        own[140 - i % 5 :] = own[140 - i % 5 :] if i % 3 else [f"x{i}"] * 10
+        rows.append((int(rng.integers(0, 140)), " ".join(own)))
+    for i in range(40):  # the same beginning, another rest
+        rows.append((200 + i, " ".join(base[: 20 + i] + [f"q{x}" for x in rng.integers(0, 10**6, 130 - i)])))
+    got = linked(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert got == components_by_hand(rows) and max(x[3] for x in got) > 30
+
+
+def test_group_pairs():
+    from tessitura.llm.jaccard_join import ceil_share, group_pairs, prefix_of
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = sets[-1] if sets and rng.random() < 0.7 else np.unique(rng.integers(0, 10**6, rng.integers(5, 60), dtype=np.uint64))
+        keep = rng.random(len(base)) < 0.97
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 10**6, rng.integers(0, 3), dtype=np.uint64)])))
+    n, prefixes = np.array([len(x) for x in sets]), [prefix_of(x, 9, 10) for x in sets]
+    pairs = group_pairs(n, prefixes, n, prefixes, 9, 10)
+    some = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            if i != j and 10 * both >= 9 * (len(x) + len(y) - both):
+                assert pairs[i, j] and both >= ceil_share(len(x), 9, 10)
+                some += 1
+    assert some and pairs.sum() < 60 * 60 / 2
+
+
 def repeats_by_hand(rows):
     """(doc_id, words, removed, digest of the rest) of each (doc_id, text)."""
     of = lambda d: -math.inf if d is None else d
