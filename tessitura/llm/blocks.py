@@ -21,6 +21,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20  # text looked at at once, unless one document is longer
 _U = np.uint64
@@ -315,6 +316,24 @@ def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 16) -> in
     return max(least, size // bytes_each)
 
 
+#: Keys, at most, that are broadcast because many rows have them.
+HEAVY = 10_000
+
+
+def join_by_count(rows: DataFrame, sums: DataFrame, key: str, count: str, n: int) -> DataFrame:
+    """rows with a struct ``__found`` of the columns of sums, which has each key once; null where there is none.
+
+    ``count`` of sums says how many of the n rows, or more, have the key.  Keys of more than n / HEAVY rows, of
+    which there are fewer than HEAVY, are broadcast, so that their rows don't meet in one task.
+    """
+    heavy = F.col(count) > max(1, n // HEAVY)
+    found = F.struct(*(c for c in sums.columns if c != key))
+    known = F.broadcast(sums.where(heavy).select(F.col(key).alias("__heavy"), found.alias("__found")))
+    joined = rows.join(known, F.col(key) == F.col("__heavy"), "left").drop("__heavy")
+    rest = joined.where("__found is null").drop("__found").join(sums.where(~heavy).select(key, found.alias("__found")), key, "left")
+    return joined.where("__found is not null").unionByName(rest)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or else, as in local tests, one of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.blocks import PACKED, buckets_for, chunks, exchange, gather, kept, mix, runs, scatter, sorted_sets, tokenise
+from tessitura.llm.blocks import PACKED, buckets_for, chunks, exchange, gather, join_by_count, kept, mix, runs, scatter, sorted_sets, tokenise
 from tessitura.llm.components import connected_components, forest
 
 U = np.uint64
@@ -59,7 +59,6 @@ BLOCK = 1024  # classes in a block of a family
 SPREAD, SMALL_BLOCK = 16, 128  # a smaller family has blocks of SMALL_BLOCK, SPREAD of them at most
 BLOCK_GRAMS = 1_000_000  # n-grams in a block of a family
 SLICE = 2048  # n-grams in a slice of the matrix product
-HEAVY = 10_000  # classes, at most, that have more than 1 / HEAVY of all documents
 
 
 def ceil_share(n, num: int, den: int):
@@ -433,14 +432,9 @@ def verified(classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, or
 
 def with_classes(signed: DataFrame, by_class: DataFrame, n: int) -> DataFrame:
     """signed with the columns of its class; those without a set, and those in classes of very many, don't meet in one task."""
-    heavy = F.col("copies") > max(1, n // HEAVY)
-    few, rest = by_class.where(heavy), by_class.where(~heavy)
-    known = F.broadcast(few.select(F.col("set_id").alias("_heavy"), F.struct("component", "links").alias("_h")))  # HEAVY rows at most
-    alone = signed.where("set_id is null").withColumn("_c", F.lit(None).cast("struct<component:long,links:long>"))
-    joined = signed.where("set_id is not null").join(known, F.col("set_id") == F.col("_heavy"), "left").drop("_heavy")
-    hot = joined.where("_h is not null").withColumnRenamed("_h", "_c")
-    cold = joined.where("_h is null").drop("_h").join(rest.select("set_id", F.struct("component", "links").alias("_c")), "set_id", "left")
-    return alone.unionByName(hot).unionByName(cold).select(*signed.columns, "_c.component", "_c.links")
+    alone = signed.where("set_id is null").withColumn("__found", F.lit(None).cast("struct<copies:long,component:long,links:long>"))
+    joined = join_by_count(signed.where("set_id is not null"), by_class, "set_id", "copies", n)
+    return alone.unionByName(joined).select(*signed.columns, "__found.component", "__found.links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:

@@ -1,31 +1,38 @@
 """Personal data: patterns, and terms that disclose what they found (operator 7).
 
 Pattern spans (e-mail and IP addresses, card and phone numbers) are the protected
-entities.  A term near an entity discloses it if seeing the term says almost who it is.
-With n documents, n_e that hold the entity, n_t that hold the term and n_et in which the
-term stands within CONTEXT words of the entity,
+entities.  A term of a document discloses an entity of it if seeing the term says almost who it
+is.  With n documents, n_e that hold the entity, n_t that hold the term and n_et that hold both,
+anywhere in their texts,
 
     PMI = log2(n * n_et / (n_e * n_t))      IC = log2(n / n_e)
 
-and the term is a span of kind ``term`` if PMI >= DISCLOSURE * IC still holds with UNSEEN more
+and the term is a span if PMI >= DISCLOSURE * IC still holds with UNSEEN more
 documents in n_t: as if one more had the term and not the entity.  This keeps words out that
 disclose everything only in appearance, because they are seen once in a small corpus, and
 leaves no entity out for being rare: one in a single document has terms from 2 ** 10 documents on.
-A term is marked wherever it stands in the texts that hold the entity.  ``sanitise`` writes a text without
-its spans: patterns and terms become the name of their kind, and terms whose ratio is at
-least REMOVAL vanish.
+A term is marked wherever it stands in the texts that hold the entity.  If its ratio PMI / IC is at least
+REMOVAL its kind is ``removed`` and ``sanitise`` leaves it out; else it is ``generalised`` and
+``sanitise`` puts something broader in its place: a decade for a year, the number of digits for
+another number, or what sort of word it is.  Patterns become the name of their kind.
 
-Every text is scanned by patterns once, and those with entities are kept for marking.  Their
-words meet the terms first and the entities after that: a term that discloses is in few
-documents, so that this grows with the texts and not with the square of an entity's documents.  Term frequencies are counted over all words of
-all documents and only those of words near an entity come back.
+Co-occurrence is not counted for all words and entities.  As n_et is at most n_e, only terms with
 
-Patterns run in linear time: a digit pattern starts at the first digit of a run only
-(any later start in the run would fail as well), and an e-mail address is grown to the
+    n_t + UNSEEN <= n ** (1 - DISCLOSURE) * n_e ** DISCLOSURE
+
+can disclose; the words of texts with entities meet the document frequencies of all words of
+all documents first, and only those that are rare enough come back.  Entities that are in the
+same documents have the same terms and are one class, so that a text with many entities of its
+own counts as one with one.
+
+Patterns run in linear time, also on very long texts: a digit pattern starts at the first digit
+of a run only (any later start in the run would fail as well), and an e-mail address is grown to the
 left of its @.
 
-Defined results: a null text has no spans; rows with a null doc_id are scanned like any
-other; rows that repeat another get equal spans and count as documents of their own.
+Defined results: a null or empty text has no spans; rows with a null doc_id are scanned like any
+other; rows that repeat another get equal spans and count as documents of their own; of
+several ratios that a term has by several entities of a text the largest counts.  Columns besides
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -41,12 +48,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessitura.llm.blocks import PACKED, buckets_for, chunks, gather, kept, runs, scatter, sorted_sets, text_bytes, tokenise
+from tessitura.llm.blocks import PACKED, buckets_for, chunks, exchange, join_by_count, kept, runs, scatter, sorted_sets, text_bytes, tokenise, unpack
 from tessitura.llm.word_counts import packed_counts
 
 U = np.uint64
-KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 8  # words on either side of an entity
+KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 DISCLOSURE, REMOVAL, UNSEEN = 0.9, 0.98, 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -111,13 +117,7 @@ def outside(begins: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, in
     return (before == 0) | (furthest[np.maximum(before - 1, 0)] <= begins)
 
 
-def context(begins: np.ndarray, ends: np.ndarray, start: int, end: int) -> np.ndarray:
-    """The places of the whole words within CONTEXT words of a span."""
-    before, after = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(begins, end))
-    return np.r_[max(0, before - CONTEXT) : before, after : min(len(begins), after + CONTEXT)]
-
-
-FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, text string, entities array<long>, near array<struct<entity:long,term:long>>"
+FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, text string, entities array<long>"
 
 
 MARKS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("ratio", pa.float64())]))
@@ -128,7 +128,7 @@ def span_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """The pattern spans of each row of docs(doc_id, text); if there are any, the text, the entities and the words near them."""
+    """The pattern spans of each row of docs(doc_id, text); if there are any, the text and the entities."""
     schema = T._parse_datatype_string(FOUND)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -141,25 +141,18 @@ def detect(docs: DataFrame) -> DataFrame:
             some = np.diff(np.concatenate([[0], np.cumsum(mark)])[offsets]) > 0
             rows = []
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                spans, entities, near, text = [], {}, {}, None
+                spans, entities, text = [], {}, None
                 own = raw[offsets[i] : offsets[i + 1]].tobytes()
                 if some[i]:
                     text = own.decode()
                     spans = pattern_spans(text)
-                if spans:
-                    begins, ends = word_bounds(text)
-                    free = outside(begins, ends, spans)
-                    hashes = term_hashes(text)
-                    for a, k, b in spans:
-                        entity = xxhash.xxh3_64_intdigest(f"{k}:{text[a:b].lower()}".encode()) >> 1
-                        entities[entity] = True
-                        at = context(begins, ends, a, b)
-                        near |= dict.fromkeys((entity, h) for h in hashes[at[free[at]]].tolist())
+                for a, k, b in spans:
+                    entities[xxhash.xxh3_64_intdigest(f"{k}:{text[a:b].lower()}".encode()) >> 1] = True
                 counts = [sum(k == j for _, k, _ in spans) for j in range(4)]
                 rows.append(
                     (
                         doc_id, f"{doc_id}:{xxhash.xxh3_128_hexdigest(own)}", *counts, hashlib.sha256(span_text(spans).encode()).hexdigest(),
-                        [{"start": a, "kind": k, "end": b} for a, k, b in spans], text if spans else None, list(entities), [{"entity": e, "term": h} for e, h in near],
+                        [{"start": a, "kind": k, "end": b} for a, k, b in spans], text if spans else None, list(entities),
                     )
                 )
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], arrow)
@@ -172,79 +165,82 @@ def term_hashes(text: str) -> np.ndarray:
     return tokenise(pa.array([text], pa.string())).hashes(fold=True) >> U(1)
 
 
-def document_frequencies(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """term and n_t, in how many documents it is, for each of terms(term long): hashes without their lowest bit."""
+def entity_rows(found: DataFrame) -> DataFrame:
+    """row, row_key, times, text, base and entities of each different row of found that has entities."""
+    first = [F.first(c).alias(c) for c in ("text", "base", "entities")]
+    some = found.where("size(entities) > 0").groupBy("row_key").agg(F.count(F.lit(1)).alias("times"), *first)
+    return kept(some.withColumn("row", F.monotonically_increasing_id()), "entity-rows")
 
-    def words(batch: pa.RecordBatch) -> np.ndarray:
-        w = tokenise(batch.column(0))
-        return sorted_sets(w.first, w.hashes(fold=True) >> U(1))[1]
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy().astype(U)
-            if len(h):
-                yield scatter(h, {"h": h, "c": np.full(len(h), -1, np.int64)}, n)
+def entity_classes(rows: DataFrame) -> DataFrame:
+    """row, times, class and n_e: the entities of each row, those in the same rows taken together."""
+    held = rows.select("row", "times", F.explode("entities").alias("entity"))
+    sums = held.groupBy("entity").agg(
+        F.sum("times").alias("n_e"), F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "row")).alias("y")
+    )
+    sums = kept(sums, "entities")
+    joined = join_by_count(held, sums, "entity", "rows", sums.agg(F.sum("rows")).first()[0] or 0)
+    f = lambda c: F.col(f"__found.{c}")
+    return joined.select("row", "times", F.xxhash64(f("n_e"), f("x"), f("y")).alias("class"), f("n_e").alias("n_e")).dropDuplicates(["row", "class"])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = gather(batches, {"h": "<u8", "c": "<i8"})
-        order = np.argsort(x["h"], kind="stable")
-        h, c = x["h"][order], x["c"][order]
-        begins, _ = runs(h)
-        if len(begins):
-            asked = np.minimum.reduceat(c, begins) < 0
-            total = np.add.reduceat(np.maximum(c, 0), begins)
-            yield pa.RecordBatch.from_arrays([pa.array(h[begins][asked].astype(np.int64)), pa.array(total[asked])], ["term", "n_t"])
-
-    asked = terms.select("term").distinct().mapInArrow(ask, PACKED)
-    return packed_counts(docs.select("text"), words, n).unionByName(asked).repartition(n, "bucket").mapInArrow(answer, "term long, n_t long")
-
-
-def disclosing_terms(found: DataFrame, docs: DataFrame, parts: int, disclosure: float = DISCLOSURE, unseen: int = UNSEEN) -> DataFrame:
-    """entity, term and ratio, PMI / IC, of each term that discloses an entity."""
-    n = found.count()
-    near = found.where("size(near) > 0").select(F.explode("near").alias("x"))
-    pairs = near.groupBy("x.entity", "x.term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = kept(pairs, "disclosure-pairs")
-    entities = found.where("size(entities) > 0").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    counted = pairs.join(entities, "entity").join(document_frequencies(docs, pairs, parts), "term")
-    ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    pmi = lambda n_t: F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * n_t))
-    ratio = lambda n_t: F.when(ic > 0, pmi(n_t) / ic).otherwise(0.0)
-    return counted.where(ratio(F.col("n_t") + unseen) >= disclosure).select("entity", "term", ratio(F.col("n_t")).alias("ratio"))
 
+def rare_words(rows: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """row, term and n_t, in how many documents it is, of the words of rows(row, most, text) that are in ``most`` documents or fewer."""
 
-def term_rows(texts: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """term and row of the texts(row, text) that have any of terms(term long)."""
+    def words(batch: pa.RecordBatch) -> np.ndarray:
+        w = tokenise(batch.column(0))
+        return sorted_sets(w.first, w.hashes(fold=True) >> U(1))[1]
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            w = tokenise(batch.column(1))
+            w = tokenise(batch.column(2))
             bounds, h = sorted_sets(w.first, w.hashes(fold=True) >> U(1))
             if len(h):
-                yield scatter(h, {"h": h, "row": np.repeat(batch.column(0).to_numpy(), np.diff(bounds)), "ask": np.zeros(len(h), bool)}, n)
+                each = np.diff(bounds)
+                yield scatter(h, {"h": h, "row": np.repeat(batch.column(0).to_numpy(), each), "most": np.repeat(batch.column(1).to_numpy(), each)}, n)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, counted = [], []
         for batch in batches:
-            h = batch.column(0).to_numpy().astype(U)
-            if len(h):
-                yield scatter(h, {"h": h, "row": np.zeros(len(h), np.int64), "ask": np.ones(len(h), bool)}, n)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = gather(batches, {"h": "<u8", "row": "<i8", "ask": "|b1"})
-        use = ~x["ask"] & np.isin(x["h"], x["h"][x["ask"]])
+            for p in batch.column(batch.schema.get_field_index("payload")):
+                x = unpack(p.as_buffer())
+                (asked if "row" in x else counted).append(x)
+        if not asked or not counted:
+            return
+        x = {c: np.concatenate([p[c] for p in asked]) for c in asked[0]}
+        h, c = (np.concatenate([p[k] for p in counted]) for k in ("h", "c"))
+        order = np.argsort(h, kind="stable")
+        begins, _ = runs(h[order])
+        total = np.add.reduceat(c[order], begins)
+        n_t = total[np.searchsorted(h[order][begins], x["h"])]  # a word that is asked for is in a document
+        use = n_t <= x["most"]
         if use.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x["h"][use].astype(np.int64)), pa.array(x["row"][use])], ["term", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(x["row"][use]), pa.array(x["h"][use].astype(np.int64)), pa.array(n_t[use])], ["row", "term", "n_t"])
 
-    asked = terms.select("term").distinct().mapInArrow(ask, PACKED)
-    return texts.select("row", "text").mapInArrow(send, PACKED).unionByName(asked).repartition(n, "bucket").mapInArrow(meet, "term long, row long")
+    asked = rows.select("row", "most", "text").mapInArrow(ask, PACKED)
+    return exchange(packed_counts(docs.select("text"), words, n).unionByName(asked), n, answer, "row long, term long, n_t long")
 
 
-def mark_terms(found: DataFrame, terms: DataFrame, parts: int) -> DataFrame:
-    """row_key and terms, the spans of the terms(entity, term, ratio) that disclose an entity of the row."""
-    some = found.where("size(entities) > 0").withColumn("row", F.xxhash64("row_key"))
-    held = some.select("row", F.explode("entities").alias("entity")).distinct()
-    own = term_rows(some, terms, parts).distinct().join(terms, "term").join(held, ["row", "entity"])
-    own = own.groupBy("row", "term").agg(F.max("ratio").alias("ratio")).groupBy("row").agg(F.collect_list(F.struct("term", "ratio")).alias("own"))
+def disclosing_terms(rows: DataFrame, docs: DataFrame, n_docs: int, parts: int, disclosure: float = DISCLOSURE, unseen: int = UNSEEN) -> DataFrame:
+    """row and own, array<struct<term, ratio>>: the terms of a row that disclose an entity of it."""
+    n = F.lit(float(max(n_docs, 1)))
+    classes = kept(entity_classes(rows), "entity-classes")
+    most = F.pow(n, F.lit(1 - disclosure)) * F.pow(F.col("n_e").cast("double"), F.lit(disclosure)) * (1 + 1e-9) - unseen
+    limits = classes.groupBy("row").agg(F.max("n_e").alias("n_e")).select("row", most.alias("most")).where("most >= 1")
+    words = rare_words(rows.select("row", "text").join(limits, "row"), docs, parts)
+    pairs = words.join(classes, "row").where(F.col("n_t") <= most).select(F.struct("class", "term").alias("pair"), "row", "times", "n_e", "n_t")
+    pairs = kept(pairs, "disclosure-pairs")
+    counted = pairs.groupBy("pair").agg(F.sum("times").alias("n_et"), F.count(F.lit(1)).alias("rows"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    ic = F.log2(n / F.col("n_e"))
+    ratio = lambda n_t: F.when(ic > 0, F.log2(n * F.col("n_et") / (F.col("n_e") * n_t)) / ic).otherwise(0.0)
+    telling = kept(counted.where(ratio(F.col("n_t") + unseen) >= disclosure).select("pair", "rows", ratio(F.col("n_t")).alias("ratio")), "disclosing-terms")
+    own = join_by_count(pairs.select("pair", "row"), telling, "pair", "rows", pairs.count()).where("__found is not null")
+    best = own.groupBy("row", F.col("pair.term").alias("term")).agg(F.max("__found.ratio").alias("ratio"))
+    return best.groupBy("row").agg(F.collect_list(F.struct("term", "ratio")).alias("own"))
+
+
+def mark_terms(rows: DataFrame, own: DataFrame, removal: float = REMOVAL) -> DataFrame:
+    """row_key and terms, the spans of the terms own(row, own) in each of rows."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,32 +250,49 @@ def mark_terms(found: DataFrame, terms: DataFrame, parts: int) -> DataFrame:
                 begins, ends = word_bounds(text)
                 h = term_hashes(text)
                 use = np.flatnonzero(np.isin(h, np.array(list(ratio), U)) & outside(begins, ends, [(s["start"], s["kind"], s["end"]) for s in base]))
-                marks.append([{"start": a, "kind": KINDS.index("term"), "end": b, "ratio": ratio[t]} for a, b, t in zip(begins[use].tolist(), ends[use].tolist(), h[use].tolist(), strict=True)])
+                found = zip(begins[use].tolist(), ends[use].tolist(), (ratio[t] for t in h[use].tolist()), strict=True)
+                marks.append([{"start": a, "kind": KINDS.index("removed" if r >= removal else "generalised"), "end": b, "ratio": r} for a, b, r in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, MARKS)], ["row_key", "terms"])
 
-    texts = some.dropDuplicates(["row_key"]).join(own, "row").select("row_key", "text", "base", "own")
+    texts = rows.join(own, "row").select("row_key", "text", "base", "own")
     return texts.mapInArrow(mark, "row_key string, terms array<struct<start:int,kind:int,end:int,ratio:double>>")
 
 
-def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, unseen: int = UNSEEN) -> DataFrame:
+def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, unseen: int = UNSEEN, removal: float = REMOVAL) -> DataFrame:
     """doc_id, row_key, counts of the patterns, base_sha256, and spans: array<struct<start, kind, end, ratio>>."""
     found = kept(detect(docs), "pii")
-    terms = disclosing_terms(found, docs, buckets_for(docs), disclosure, unseen)
-    marked = mark_terms(found, kept(terms, "disclosing-terms"), buckets_for(docs))
+    rows = entity_rows(found)
+    marked = mark_terms(rows, disclosing_terms(rows, docs, found.count(), buckets_for(docs), disclosure, unseen), removal)
     base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(None).cast("double").alias("ratio")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,ratio:double>>")
-    return found.join(marked, "row_key", "left").withColumn("spans", F.array_sort(F.concat(base, F.coalesce(F.col("terms"), none)))).drop("base", "text", "entities", "near", "terms")
+    return found.join(marked, "row_key", "left").withColumn("spans", F.array_sort(F.concat(base, F.coalesce(F.col("terms"), none)))).drop("base", "text", "entities", "terms")
+
+
+_YEAR, _NUMBER = re.compile(r"[12][0-9]{3}"), re.compile(r"[+-]?[0-9]+(?:[.,][0-9]+)*")
+
+
+def generalise(term: str) -> str:
+    """Something broader that a term is one of many cases of; signs around it stay out."""
+    core = term.strip(".,;:!?()[]{}<>\"'")
+    if _YEAR.fullmatch(core):
+        return f"[{core[:3]}0s]"
+    if _NUMBER.fullmatch(core):
+        return f"[number of {sum(c.isdigit() for c in core)} digits]"
+    if any(c.isdigit() for c in core):
+        return "[code]"
+    return "[name]" if core[:1].isupper() else "[word]"
 
 
-def sanitise(text: str | None, spans: list, removal: float = REMOVAL) -> str:
-    """text with each span replaced by its kind, and terms of a ratio of at least ``removal`` left out."""
+def sanitise(text: str | None, spans: list) -> str:
+    """text with each pattern span replaced by its kind, terms generalised, and those whose kind is ``removed`` left out."""
     out, at = [], 0
     for start, kind, end, ratio in spans:
         if start < at:  # within the last one
             end = max(end, at)
             at = end
             continue
-        out += [text[at:start], "" if ratio is not None and ratio >= removal else f"[{KINDS[kind]}]"]
+        broader = f"[{KINDS[kind]}]" if ratio is None else "" if KINDS[kind] == "removed" else generalise(text[start:end])
+        out += [text[at:start], broader]
         at = end
     return "".join([*out, (text or "")[at:]])
 
