@@ -4,12 +4,17 @@ Words are counted per source, every source gets a target and so a repetition rat
 ``target / size``, and each document is emitted floor(rate) times plus once more if
 a hash of its id and the seed, read as a number in [0, 1), is below the fraction.
 
-All of it is DataFrame work.  What is aggregated per source stays a table with one
-row for each source; only that table is sorted as a whole.
+One draw leaves a source of few or of uneven documents far from its target.  So each
+source has SEEDS draws, the hash shifted around the unit interval by k / SEEDS, whose words
+are added up in one aggregation; the one that comes nearest to the target is taken, the first of
+equal ones.  Each of them alone copies a document with the chance that the rate says.
 
-Defined results: a null text has size 0; null is a source of its own, the last; a
-source without words has rate 0; a null doc_id hashes like the empty text; rows that
-repeat a doc_id get equal copies; an empty table gives an empty result.  Columns of
+All of it is DataFrame work.  Words are counted once, into a table of ids, sources and sizes.  What is
+aggregated per source stays a table with one row for each source; only that table is sorted as a whole.
+
+Defined results: a null text has size 0 and a text of any length is counted as a whole; null is a
+source of its own, the last; a source without words has rate 0; a null doc_id hashes like the empty
+text; rows that repeat a doc_id get equal copies; an empty table gives an empty result.  Columns of
 the input keep their names, and those added are looked up by names that no input has.
 """
 
@@ -20,6 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.llm.blocks import kept
+
+SEEDS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of md5 that make a number below 2 ** 52, exact as a double.
 _DIGITS, _RANGE = 13, float(1 << 52)
@@ -64,36 +72,60 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: float) -> Dat
     return ranked.select("source", "source_size", F.when(F.col("_cut"), F.col("_cap")).otherwise(F.least(share, F.col("_cap"))).cast("double").alias("target"))
 
 
-def mix_copies(
-    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: float = 3.0, seed: str = "mix",
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """docs with ``__mix`` = struct(size, source_size, target, copies)."""
-    sized = docs.withColumn("__mix_size", word_count(F.col(text_col)))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("__mix_size").alias("source_size"))
-    targets = source_targets(sizes, weights, most).select(F.struct("source", "source_size", "target").alias("__t"))
-    rate = F.when(F.col("__t.source_size") > 0, F.col("__t.target") / F.col("__t.source_size")).otherwise(0.0)
-    extra = hash_unit(seed, F.col(id_col)) < rate - F.floor(rate)
-    copies = (F.floor(rate) + extra.cast("long")).cast("int")
-    return (
-        sized.join(targets, F.col(source_col).eqNullSafe(F.col("__t.source")), "left")
-        .withColumn("__mix", F.struct(F.col("__mix_size").alias("size"), F.col("__t.source_size").alias("source_size"), F.col("__t.target").alias("target"), copies.alias("copies")))
-        .drop("__mix_size", "__t")
-    )
+def _shifted(u: Column, k: Column | int) -> Column:
+    """u moved by k / SEEDS around the unit interval."""
+    moved = u + (F.lit(k) if isinstance(k, int) else k) / F.lit(float(SEEDS))
+    return moved - F.floor(moved)
+
+
+def source_rates(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """sized(source, size, u) to source, source_size, target, rate and shift, the draw that comes nearest to the target."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rates = kept(source_targets(sizes, weights, most).withColumn("rate", rate), "source-rates")
+    part = F.col("rate") - F.floor("rate")
+    joined = sized.join(rates.select(F.col("source").alias("__s"), "rate"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    draws = joined.groupBy("source").agg(F.array(*(F.sum(F.when(_shifted(F.col("u"), k) < part, F.col("size")).otherwise(0)) for k in range(SEEDS))).alias("draws"))
+    found = rates.join(draws.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    off = F.transform("draws", lambda x, k: F.struct(F.abs(x.cast("double") + F.floor("rate") * F.col("source_size") - F.col("target")).alias("off"), k.alias("k")))
+    return found.select("source", "source_size", "target", "rate", F.array_min(off)["k"].alias("shift"))
+
+
+def copies_of(rates: Column, u: Column) -> Column:
+    """How often a document of number u is emitted."""
+    rate = rates["rate"]
+    return (F.floor(rate) + (_shifted(u, rates["shift"]) < rate - F.floor(rate)).cast("long")).cast("int")
+
+
+def with_rates(df: DataFrame, rates: DataFrame, source_col: str) -> DataFrame:
+    """df with ``__r``, the row of its source."""
+    own = rates.select(F.struct(*rates.columns).alias("__r"))
+    return df.join(own, F.col(f"`{source_col}`").eqNullSafe(F.col("__r.source")), "left")
+
+
+def mixture(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(a row for each of docs: id, source, size, u; the rates of the sources)."""
+    q = lambda c: F.col(f"`{c}`")
+    sized = docs.select(q(id_col).alias("id"), q(source_col).alias("source"), word_count(q(text_col)).alias("size"), hash_unit(seed, q(id_col)).alias("u"))
+    sized = kept(sized, "sizes")
+    return sized, source_rates(sized, weights, most)
 
 
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The mixture: the rows of docs, each as often as the rates of its source say.
 
     The columns are those of docs.
     """
-    made = mix_copies(docs, **options)
-    return made.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__mix.copies")))).where("__copy > 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    _, rates = mixture(docs, seed=seed, id_col=id_col, source_col=source_col, **options)
+    copies = copies_of(F.col("__r"), hash_unit(seed, F.col(f"`{id_col}`")))
+    made = with_rates(docs, rates, source_col).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return made.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_copies(docs).select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.size") * F.col("__mix.copies")).cast("long").alias("taken"))
+    sized, rates = mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    taken = (F.col("size") * copies_of(F.col("__r"), F.col("u"))).cast("long")
+    return with_rates(sized, rates, "source").select(F.col("id").alias("doc_id"), "size", "__r.source_size", "__r.target", taken.alias("taken"))
 
 
 OP10_SQL = r"""
@@ -106,8 +138,12 @@ r AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, encode
 c AS (SELECT *, cap * rest <= w * (total - before) AS cut FROM r),
 l AS (SELECT arg_max(before, rest) AS before, max(rest) AS rest FROM c WHERE NOT cut),
 t AS (SELECT c.source, c.source_size, CASE WHEN c.cut THEN c.cap ELSE least(c.w * (c.total - l.before) / l.rest, c.cap) END AS target FROM c CROSS JOIN l),
-x AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+x AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
              ('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target::DOUBLE AS target, (size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM x
+m AS (SELECT source, k, abs(sum(CASE WHEN u + k / 32.0::DOUBLE - floor(u + k / 32.0::DOUBLE) < rate - floor(rate) THEN size ELSE 0 END)::DOUBLE + floor(any_value(rate)) * any_value(source_size) - any_value(target)) AS off
+      FROM x, range(32) t(k) GROUP BY source, k),
+b AS (SELECT source, k FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
+SELECT doc_id, size, source_size, target::DOUBLE AS target, (size * (floor(rate)::BIGINT + (u + k / 32.0::DOUBLE - floor(u + k / 32.0::DOUBLE) < rate - floor(rate))::BIGINT))::BIGINT AS taken
+FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source
 """

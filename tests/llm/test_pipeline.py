@@ -48,9 +48,10 @@ def test_stages(spark, small, rows):
 
     mixed = stages["mix_sources"](spark, docs, small)
     assert mixed.columns == docs.columns
-    from tessitura.llm.mixing import mix_copies
+    from tessitura.llm.mixing import copies_of, mixture, with_rates
 
-    n = mix_copies(docs).agg(F.sum("__mix.copies")).first()[0]
+    sized, rates = mixture(docs)
+    n = with_rates(sized, rates, "source").agg(F.sum(copies_of(F.col("__r"), F.col("u")))).first()[0]
     assert mixed.count() == n
 
     placed = stages["shard"](spark, docs, small)
