@@ -4,19 +4,23 @@ A document is contaminated by a test item if some run of its words is within ``r
 the item's words in edit distance (words put in, left out or replaced).  Words are
 compared in lower case (A-Z) and without ASCII punctuation, which separates words here.
 
-An item of m words has a budget of k = floor(rate * m) errors, none if it has fewer than
-EXACT_BELOW words, and is split into k + 1 pieces.  Where k errors or fewer fall on k + 1
+An item of m words has a budget of k = floor(rate * m) errors (none if it has fewer than
+``exact_below`` words, an option that is off) and is split into k + 1 pieces.  Where k errors or fewer fall on k + 1
 pieces, one piece is whole: so every match holds one of the pieces unchanged.  All texts
 are scanned for the pieces by rolling hashes, a bitmap ruling out nearly all places;
 around each hit, Myers' bit-parallel algorithm gives the least distance of the item to
 any run of words there.
 
-The items go to all tasks in blocks of at most BLOCK_BYTES of text, one scan for each
-block; the documents are never shuffled.
+The items go to all tasks in blocks of about BLOCK_BYTES of text, one scan for each
+block; the documents are never shuffled.  Where there are several blocks, the result of each is
+written and its block given up before the next one goes out.
 
 Defined results: a null or empty text matches nothing; an item without words is passed
 over; rows that repeat another match alike; a match of a document whose doc_id is null
-has a null doc_id; repeated items match each under its own item_id.
+has a null doc_id; repeated items match each under its own item_id; of several matches of an item in
+one document the one of the least distance counts, the first of equal ones.  A text of any length is
+scanned as a whole.  Of docs, only doc_id and text are read; ``drop_contaminated`` returns all
+columns under their names.
 """
 
 from __future__ import annotations
@@ -29,19 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.blocks import SEPARATORS, chunks, mix, tokenise
+from tessitura.llm.blocks import SEPARATORS, chunks, kept, mix, tokenise
 
 U = np.uint64
 RATE = 0.2
-EXACT_BELOW = 8
 BLOCK_BYTES = 8 << 20
 _SPLIT = SEPARATORS.copy()
 _SPLIT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _BITS = 20
 
 
-def error_budget(m: int, rate: float) -> int:
-    return 0 if m < EXACT_BELOW else int(rate * m)
+def error_budget(m: int, rate: float, exact_below: int = 0) -> int:
+    return 0 if m < exact_below else int(rate * m)
 
 
 def myers(item: dict[int, int], m: int, text: list[int]) -> tuple[int, int]:
@@ -73,12 +76,12 @@ def myers(item: dict[int, int], m: int, text: list[int]) -> tuple[int, int]:
 class ItemIndex:
     """The pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, exact_below: int = 0):
         words = tokenise(pa.array([t for _, t in items], pa.string()), _SPLIT)
         h = words.hashes(fold=True)
         self.ids = [i for i, _ in items]
         self.words = [h[a:b] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
-        self.budgets = [error_budget(len(w), rate) for w in self.words]
+        self.budgets = [error_budget(len(w), rate, exact_below) for w in self.words]
         self.places = []  # for each item the bits of its words
         found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for n, (w, k) in enumerate(zip(self.words, self.budgets, strict=True)):
@@ -144,8 +147,8 @@ def run_hash(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def item_blocks(items: DataFrame, rate: float) -> Iterator[ItemIndex]:
-    """The index of each block of items(item_id, text)."""
+def item_blocks(items: DataFrame, rate: float, exact_below: int) -> Iterator[tuple[ItemIndex, bool]]:
+    """The index of each block of items(item_id, text), and whether there are others."""
     some = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = some.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     blocks = 1 + int(size) // BLOCK_BYTES
@@ -154,16 +157,16 @@ def item_blocks(items: DataFrame, rate: float) -> Iterator[ItemIndex]:
         # spread by hash over blocks of BLOCK_BYTES in the mean
         rows = some.where(block == b).orderBy("item_id", "text").collect()
         if rows:
-            yield ItemIndex([(r.item_id, r.text) for r in rows], rate)
+            yield ItemIndex([(r.item_id, r.text) for r in rows], rate, exact_below), blocks > 1
 
 
 MATCH = "doc_id long, item_id long, start_word int, end_word int, distance int"
 
 
-def find_matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+def find_matches(docs: DataFrame, items: DataFrame, rate: float = RATE, exact_below: int = 0) -> DataFrame:
     """One row for each document and item that match: doc_id, item_id, start_word, end_word, distance."""
     spark, found = docs.sparkSession, None
-    for index in item_blocks(items, rate):
+    for index, many in item_blocks(items, rate, exact_below):
         shared = spark.sparkContext.broadcast(index)
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -177,13 +180,16 @@ def find_matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
                     )
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(match, MATCH)
+        if many:
+            rows = kept(rows, "matches")
+            shared.unpersist()
         found = rows if found is None else found.unionByName(rows)
     return spark.createDataFrame([], MATCH) if found is None else found
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, exact_below: int = 0) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
-    for index in item_blocks(items, rate):
+    for index, many in item_blocks(items, rate, exact_below):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -193,6 +199,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) ->
                 yield batch.filter(pa.array(stay))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if many:
+            docs = kept(docs, "clean")
+            shared.unpersist()
     return docs
 
 
