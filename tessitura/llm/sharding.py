@@ -10,10 +10,14 @@ No window sees a whole source: hashes and fractions are evenly spread numbers, s
 equal intervals of them (*cells*) hold about equally many rows, whatever the source.
 A row's rank is the number of rows in earlier cells, from a small table of counts,
 plus its rank in its cell.  Text is turned into its size and crc32 before any shuffle.
-
-Defined results: a null text has size 1 and crc32 0; null is a source of its own; rows
-that repeat another get slots of their own, one after the other; shards of an empty
-table are empty.
+The hash is of doc_id, size and crc32, so that rows without an id, or of one id, are
+spread like others.  Counts of cells are summed in blocks of BLOCK, and only the sums of blocks
+of one source in one window.
+
+Defined results: a null text has size 1 and crc32 0, a text of any length one row; null is a
+source of its own; rows that repeat another get slots of their own, one after the other, in any
+order, being equal; ties of the hash are ordered by the columns; shards of an empty
+table are empty.  Of docs only doc_id, text and source are read.
 """
 
 from __future__ import annotations
@@ -24,34 +28,34 @@ from pyspark.sql import functions as F
 from tessitura.llm.blocks import checkpointed
 from tessitura.llm.mixing import hash_unit
 
-ROWS_PER_CELL = 20_000
+ROWS_PER_CELL, LEAST_CELLS = 20_000, 512
+BLOCK = 1024  # cells
 
 
 def _cells(rows: int) -> int:
-    return max(32, -(-rows // ROWS_PER_CELL))
+    return max(LEAST_CELLS, -(-rows // ROWS_PER_CELL))
 
 
 def _offsets(df: DataFrame, keys: list[str], cell: str) -> DataFrame:
     """For each key and cell the rows of that key in earlier cells, and of the key at all."""
-    counts = df.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_c")).withColumn("_block", F.floor(F.col(cell) / BLOCK))
+    sums = counts.groupBy(*keys, "_block").agg(F.sum("_c").alias("_s"))
     w = Window.partitionBy(*(keys or [F.lit(0)]))
-    return counts.select(
-        *keys, cell,
-        (F.sum("_c").over(w.orderBy(cell)) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(w).alias("_all"),
-    )
+    blocks = sums.select(*keys, "_block", (F.sum("_s").over(w.orderBy("_block")) - F.col("_s")).alias("_earlier"), F.sum("_s").over(w).alias("_all"))
+    within = Window.partitionBy(*keys, "_block").orderBy(cell)
+    return counts.join(blocks, [*keys, "_block"]).select(*keys, cell, (F.col("_earlier") + F.sum("_c").over(within) - F.col("_c")).alias("_before"), "_all")
 
 
 def interleave(keyed: DataFrame, shards: int = 16, seed: str = "shard") -> DataFrame:
     """keyed(row_key, source, ...) with shard and slot.
 
-    ``row_key`` is what the seeded shuffle hashes; rows with equal keys are ordered by
-    their other columns and then stand in any order, being equal.
+    The seeded shuffle hashes ``row_key`` and the columns besides; of rows with one hash those
+    are ordered, and what is then equal stands in any order.
     """
     n = keyed.count()
     cells = _cells(n)
     rest = [c for c in keyed.columns if c not in ("row_key", "source")]
-    u = keyed.withColumn("_u", hash_unit(seed, F.col("row_key"))).withColumn("_src", F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")))
+    u = keyed.withColumn("_u", hash_unit(seed, F.col("row_key"), *(F.col(c) for c in rest))).withColumn("_src", F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")))
     u = u.withColumn("_cell", F.floor(F.col("_u") * cells).cast("int"))
     tie = [F.col(c) for c in ("row_key", *rest)]
     local = Window.partitionBy("_src", "_cell").orderBy("_u", *tie)
