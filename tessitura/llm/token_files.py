@@ -17,8 +17,9 @@ doc_id and their names sort as these.  A file is written under another name and
 into place, so a task that runs again replaces what it had written.
 
 Defined results: a null text gives the end id alone; rows with a null doc_id come first;
-rows that repeat a doc_id stand next to each other in the order of their texts; an empty
-table gives no rows.
+rows that share a doc_id, or have none, stand in the order of the crc32 of their texts, and the ties of
+that in the order of the texts, and may be dealt to several files; a text of any length is encoded as
+a whole and is in one frame; an empty table gives no rows.  Of docs only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -293,6 +294,7 @@ def encoder_of(path: str) -> Encoder:
 
 
 def _open_fs(uri: str):
+    uri = re.sub("^s3[an]://", "s3://", uri)  # as Spark names it
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
 
@@ -323,7 +325,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"file": [Path(name).name], "n_docs": [len(writer.index)], "n_tokens": [sum(x[3] for x in writer.index)]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc).repartitionByRange(n, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "text")
     fs, root = _open_fs(folder)
     fs.create_dir(root, recursive=True)
     return ordered.mapInArrow(write, "file string, n_docs long, n_tokens long")
