@@ -13,17 +13,21 @@ all other words, by their last two bytes.  A word of a class has within it the c
 (c + 0.5) / (C + 0.5 (V + 1)), with its count c and the class's words C and different words V, as
 the unigram model has.  STATES latent states emit symbols.  Baum-Welch: tasks run the scaled
 forward and backward recursions over all texts that they read and send expected
-counts; sums of a fixed number of cells come back and give the next model.  A bounded sample
+counts; sums of a fixed number of cells come back and give the next model.  Rounds go on until the
+likelihood of a token gains less than GAIN (log10), ROUNDS at most.  A bounded sample
 (SAMPLE texts, of longer ones a window of SAMPLE_CHARS) only gives the model from which this
 starts; if nothing is drawn, that is a random one.
 
-*Score.*  The scaled forward recursion gives the exact likelihood of the symbols, and
-the words within their classes follow from counts.  Texts run side by side, ordered by length, so
+*Score.*  The scaled forward recursion, in double, gives the likelihood of the symbols summed
+over all paths of states, and the words within their classes follow from counts.  Training runs in
+single precision.  Texts run side by side, ordered by length, so
 that one step of the recursion is one small matrix product.
 
 Defined results: a null text is the end alone; a null doc_id counts as the empty text
 when texts are held out; rows that repeat another are scored alike and each of them is
-counted; without training texts every token has the chance 1 in the base score.
+counted; without training texts every token has the chance 1 in the base score; a text of any
+length is scored as a whole, and TOKENS bounds how many run beside it; of words with equal
+counts those of smaller hashes are symbols.  Of docs only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -37,18 +41,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.blocks import PACKED, Words, buckets_for, chunks, gather, kept, mix, pack, runs, scatter, tokenise, unpack
+from tessitura.llm.blocks import PACKED, Words, buckets_for, chunks, exchange, gather, kept, mix, pack, runs, scatter, tokenise, unpack
 from tessitura.llm.language_id import held_out
 from tessitura.llm.mixing import hash_unit
 from tessitura.llm.word_counts import Counter
 
 U = np.uint64
 TOP, SYMBOLS, CLASSES = 1 << 18, 4096, 256
-STATES, ROUNDS, SAMPLE, SAMPLE_ROUNDS = 6, 2, 600, 12
+STATES, ROUNDS, SAMPLE, SAMPLE_ROUNDS = 6, 3, 600, 12
+GAIN = 0.005
 SAMPLE_CHARS = 10_000
 TOKENS = 1_000_000  # tokens that run side by side
 FOLD = 1
 END = SYMBOLS + CLASSES
+CELLS = STATES + STATES**2 + (END + 1) * STATES + 1  # expected counts, and the likelihood
 SMOOTH = 0.1
 _CUT_BEGIN, _NO_WORD = re.compile(r"\A[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -121,7 +127,7 @@ def count_words(train: DataFrame, n: int) -> DataFrame:
             h, c = x["h"][order][begins], np.add.reduceat(x["c"][order], begins)
             yield scatter(h, {"h": h, "c": c}, n)
 
-    return train.select("text").mapInArrow(count, PACKED).repartition(n, "bucket").mapInArrow(add, PACKED)
+    return exchange(train.select("text").mapInArrow(count, PACKED), n, add, PACKED)
 
 
 def tagged(h: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -194,13 +200,14 @@ class HiddenMarkov:
         start, move, emit = split_counts(counts + SMOOTH)
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
 
-    def _forward(self, obs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _forward(self, obs: np.ndarray, at: np.ndarray, kind=np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(emissions, scaled forward values, scales) in order of steps; at: where each step begins."""
-        seen = self.emit[obs]
-        alpha, scale = np.empty_like(seen), np.empty(len(obs), np.float32)
+        start, move = self.start.astype(kind), self.move.astype(kind)
+        seen = self.emit.astype(kind)[obs]
+        alpha, scale = np.empty_like(seen), np.empty(len(obs), kind)
         before = None
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            x = seen[a:b] * (self.start if before is None else before[: b - a] @ self.move)
+            x = seen[a:b] * (start if before is None else before[: b - a] @ move)
             s = x.sum(axis=1)
             scale[a:b] = s
             before = alpha[a:b] = x / s[:, None]
@@ -209,11 +216,11 @@ class HiddenMarkov:
     def log10(self, obs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 of the chance of each text, given all symbols one text after the other."""
         place, at, doc = by_step(lengths)
-        _, _, scale = self._forward(obs[place], at)
-        return np.bincount(doc[place], weights=np.log10(scale.astype(float)), minlength=len(lengths))
+        _, _, scale = self._forward(obs[place], at, np.float64)
+        return np.bincount(doc[place], weights=np.log10(scale), minlength=len(lengths))
 
     def expect(self, obs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Expected counts of starts, moves and emissions, in one array."""
+        """Expected counts of starts, moves and emissions, in one array, and at last the log10 of the chance of all texts."""
         place, at, _ = by_step(lengths)
         obs = obs[place]
         seen, alpha, scale = self._forward(obs, at)
@@ -232,11 +239,11 @@ class HiddenMarkov:
             ahead = x / scale[a:b, None]
         emit = np.stack([np.bincount(obs, weights=gamma[:, k], minlength=END + 1) for k in range(STATES)], axis=1)
         start = gamma[: at[1]].sum(axis=0) if len(at) > 1 else np.zeros(STATES)
-        return np.concatenate([start, move.ravel(), emit.ravel()])
+        return np.concatenate([start, move.ravel(), emit.ravel(), [np.log10(scale.astype(float)).sum()]])
 
 
 def split_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return x[:STATES], x[STATES : STATES + STATES**2].reshape(STATES, STATES), x[STATES + STATES**2 :].reshape(END + 1, STATES)
+    return x[:STATES], x[STATES : STATES + STATES**2].reshape(STATES, STATES), x[STATES + STATES**2 : CELLS - 1].reshape(END + 1, STATES)
 
 
 def by_step(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,6 +298,7 @@ def train_model(train: DataFrame, words, rounds: int = ROUNDS) -> HiddenMarkov:
     obs, lengths = with_ends(words.value.look_up(w)[2].astype(np.int32), w)
     for _ in range(SAMPLE_ROUNDS if len(obs) else 0):
         model = HiddenMarkov.from_counts(model.expect(obs, lengths))
+    before = -np.inf
     for _ in range(rounds if words.value.ends else 0):
         now = sc.broadcast(model)
 
@@ -303,11 +311,15 @@ def train_model(train: DataFrame, words, rounds: int = ROUNDS) -> HiddenMarkov:
                 for a in range(0, len(used), 5000):
                     yield pa.RecordBatch.from_arrays([pa.array(used[a : a + 5000], pa.int32()), pa.array(total[used[a : a + 5000]])], ["cell", "x"])
 
-        counts = np.zeros(STATES + STATES**2 + (END + 1) * STATES)
+        counts = np.zeros(CELLS)
         # cells of a fixed number, whatever the corpus
         for r in train.select("text").mapInArrow(expect, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
             counts[r.cell] = r.x
         model = HiddenMarkov.from_counts(counts)
+        likelihood = counts[-1] / words.value.total
+        if likelihood - before < GAIN:
+            break
+        before = likelihood
     return model
 
 
@@ -378,8 +390,8 @@ def rare_words(docs: DataFrame, counts: DataFrame, words, n: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x["key"][begins]), pa.array(x["text"][begins]), pa.array(np.add.reduceat(x["logs"], begins)), pa.array(np.add.reduceat(x["known"], begins))], ["key", "text_key", "rare_log", "rare_known"])
 
     asked = docs.select("key", "text").mapInArrow(ask, PACKED)
-    told = asked.unionByName(counts).repartition(n, "bucket").mapInArrow(tell, PACKED)
-    return told.repartition(n, "bucket").mapInArrow(add, "key long, text_key long, rare_log double, rare_known long")
+    told = exchange(asked.unionByName(counts), n, tell, PACKED)
+    return exchange(told, n, add, "key long, text_key long, rare_log double, rare_known long")
 
 
 def known_scores(docs: DataFrame, words, model) -> DataFrame:
