@@ -140,7 +140,7 @@ l AS (SELECT arg_max(before, rest) AS before, max(rest) AS rest FROM c WHERE NOT
 t AS (SELECT c.source, c.source_size, CASE WHEN c.cut THEN c.cap ELSE least(c.w * (c.total - l.before) / l.rest, c.cap) END AS target FROM c CROSS JOIN l),
 x AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
              ('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 m AS (SELECT source, k, abs(sum(CASE WHEN u + k / 32.0::DOUBLE - floor(u + k / 32.0::DOUBLE) < rate - floor(rate) THEN size ELSE 0 END)::DOUBLE + floor(any_value(rate)) * any_value(source_size) - any_value(target)) AS off
       FROM x, range(32) t(k) GROUP BY source, k),
 b AS (SELECT source, k FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
