@@ -100,6 +100,36 @@ def sine(n: int, rate: int, hertz: float, amplitude: float = 0.5) -> Column:
     return F.transform(indices(n), lambda i: F.sin(i * (2 * 3.141592653589793 * hertz / rate)) * amplitude)
 
 
+def tones(n: int, rate: int, parts: Sequence[tuple[float, float]]) -> Column:
+    """A sum of sines, each of (hertz, amplitude)."""
+    turn = 2 * 3.141592653589793 / rate
+
+    def at(i: Column) -> Column:
+        out = zero()
+        for hertz, amplitude in parts:
+            out = out + F.sin(i * (turn * hertz)) * amplitude
+        return out
+
+    return F.transform(indices(n), at)
+
+
+def chirp(n: int, rate: int, low: float = 200.0, rise: float = 1800.0, amplitude: float = 0.5) -> Column:
+    """sin(2 pi f(t) t) with f(t) = low + rise * t / duration."""
+    seconds = n / rate
+
+    def at(i: Column) -> Column:
+        t = i / F.lit(float(rate))
+        return F.sin(2 * 3.141592653589793 * (low + rise * t / seconds) * t) * amplitude
+
+    return F.transform(indices(n), at)
+
+
+def noise(n: int, key: Column, amplitude: float = 0.3) -> Column:
+    """Evenly spread numbers between -amplitude and amplitude, the same for the same key."""
+    unit = lambda i: F.pmod(F.xxhash64(key, i), F.lit(1 << 40)) / float(1 << 40)
+    return F.transform(indices(n), lambda i: (unit(i) * 2 - 1) * amplitude)
+
+
 # frames
 
 

@@ -64,6 +64,11 @@ def pack_words(sentence: Column, most: int, measure: Callable[[Column], Column]
     return F.transform(done, ensure_punctuation)
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x made once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def sentence_chunks(text: Column | str, most: int | None = None, measure: Callable[[Column], Column] = utf16_length) -> Column:
     """Sentences with closing punctuation, the long ones packed by words; a text without any is one chunk."""
     t = _c(text)
@@ -72,7 +77,7 @@ def sentence_chunks(text: Column | str, most: int | None = None, measure: Callab
     else:
         fits = lambda s: measure(ensure_punctuation(s)) <= most
         chunks = F.flatten(F.transform(sentence_split(t), lambda s: F.when(fits(s), F.array(ensure_punctuation(s))).otherwise(pack_words(s, most, measure))))
-    return F.when(F.size(chunks) > 0, chunks).otherwise(F.array(ensure_punctuation(t)))
+    return _once(chunks, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(ensure_punctuation(t))))
 
 
 _STRIP = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -125,7 +130,7 @@ def paragraphs(text: Column | str) -> Column:
     """Trimmed paragraphs between blank lines, without empty ones; the whole trimmed text where none is left."""
     t = F.regexp_replace(_c(text), "\r\n?", "\n")
     found = F.filter(F.transform(F.split(t, "\n\n"), trim_space), lambda s: s != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(trim_space(t)))
+    return _once(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(trim_space(t))))
 
 
 def extract_text(parts: Column | str) -> Column:
@@ -141,8 +146,26 @@ def phoneme_normalize(text: Column | str) -> Column:
     return F.array_join(F.regexp_extract_all(_c(text), F.lit(r"(?U)(\w+|[^\w\s])"), 1), " ")
 
 
-def _ids(symbols: str) -> Column:
-    return F.create_map(*(F.lit(x) for i, s in enumerate(symbols) for x in (s, i)))
+_BASIC = 1 << 16
+
+
+def by_character(ids: Mapping[str, int]) -> Callable[[Column], Column]:
+    """The id of a character, null if there is none.
+
+    One constant array, read by code point: a map would be searched from its start for every
+    character.  Characters beyond the basic plane, of which a vocabulary has few, are in a map.
+    """
+    single = {ord(s): i for s, i in ids.items() if len(s) == 1}
+    basic = {c: i for c, i in single.items() if c < _BASIC}
+    rest = {chr(c): i for c, i in single.items() if c >= _BASIC}
+    places = F.split(F.lit(",".join(str(basic.get(c, "")) for c in range(max(basic, default=-1) + 1))), ",")
+    other = F.create_map(*(F.lit(x) for kv in rest.items() for x in kv)) if rest else None
+
+    def find(c: Column) -> Column:
+        own = F.nullif(F.get(places, F.ascii(c)), F.lit("")).cast("int") if basic else F.lit(None).cast("int")
+        return own if other is None else F.coalesce(own, F.try_element_at(other, c))
+
+    return find
 
 
 def characters(text: Column) -> Column:
@@ -151,7 +174,7 @@ def characters(text: Column) -> Column:
 
 def phoneme_encode(text: Column | str, most: int | None = None) -> Column:
     """Ids of the known symbols of a normalised text."""
-    known = F.array_compact(F.transform(characters(phoneme_normalize(text)), lambda c: F.try_element_at(_ids(PHONEMES), c)))
+    known = F.array_compact(F.transform(characters(phoneme_normalize(text)), by_character({s: i for i, s in enumerate(PHONEMES)})))
     return F.slice(known, 1, most) if most is not None else known
 
 
@@ -172,23 +195,21 @@ def spm_normalize(text: Column | str) -> Column:
     return F.concat(F.lit(SPM_SPACE), F.translate(_c(text), " ", SPM_SPACE))
 
 
-def _vocabulary(vocab: Mapping[str, int] | Column) -> Column:
-    if isinstance(vocab, Column):
-        return vocab
-    return F.create_map(*(F.lit(x) for k, v in vocab.items() for x in (k, v)))
-
-
 def spm_char_encode(text: Column | str, vocab: Mapping[str, int] | Column, unknown: int = 0, most: int | None = None) -> Column:
     """One id for each character, the unknown one where the vocabulary has none."""
-    own = _vocabulary(vocab)
-    ids = F.transform(characters(spm_normalize(text)), lambda c: F.coalesce(F.try_element_at(own, c), F.lit(unknown)))
+    own = (lambda c: F.try_element_at(vocab, c)) if isinstance(vocab, Column) else by_character(vocab)
+    ids = F.transform(characters(spm_normalize(text)), lambda c: F.coalesce(own(c), F.lit(unknown)))
     return F.slice(ids, 1, most) if most is not None else ids
 
 
 def spm_char_decode(ids: Column | str, pieces: Mapping[int, str] | Column) -> Column:
     """The text of ids, without control pieces and unknown ids."""
-    own = pieces if isinstance(pieces, Column) else F.create_map(*(F.lit(x) for k, v in pieces.items() for x in (k, v)))
-    text = F.array_compact(F.transform(_c(ids), lambda i: F.try_element_at(own, i)))
+    if isinstance(pieces, Column):
+        own = lambda i: F.try_element_at(pieces, i)
+    else:  # by place
+        listed = F.split(F.lit("\u0001".join(pieces.get(i, "\u0002") for i in range(max(pieces, default=-1) + 1))), "\u0001")
+        own = lambda i: F.nullif(F.get(listed, i), F.lit("\u0002"))
+    text = F.array_compact(F.transform(_c(ids), own))
     return F.regexp_replace(F.translate(F.array_join(F.filter(text, lambda p: ~p.isin(*SPM_CONTROL)), ""), SPM_SPACE, " "), "^ ", "")
 
 

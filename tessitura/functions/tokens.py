@@ -60,7 +60,9 @@ def _c(x: Column | str) -> Column:
 def language_id(language: Column | str, special: SpecialTokens = DEFAULT) -> Column:
     """The token of a language code; null if there is none."""
     known = special.languages()
-    return F.try_element_at(F.create_map(*(F.lit(x) for k, v in known.items() for x in (k, v))), _c(language)) if known else F.lit(None).cast("int")
+    # one search of a constant array for each row
+    place = F.array_position(F.split(F.lit(",".join(known)), ","), _c(language)) if known else None
+    return F.when(place > 0, (place - 1 + special.first_language).cast("int")) if known else F.lit(None).cast("int")
 
 
 def whisper_prompt(language: Column | str, translate: bool = False, special: SpecialTokens = DEFAULT) -> Column:
@@ -122,23 +124,24 @@ def whisper_segments(ids: Column | str, vocab: Mapping[int, str] | Column, speci
     """array<struct<text, start, end>>: texts between an odd time token and the next one.
 
     Text before the first time of a pair goes into its segment; blank segments and text
-    after the last pair are left out.  One fold over the ids.
+    after the last pair are left out.  The places of the times are found first, so that each
+    token is read twice, however many segments there are.
     """
     own = _lookup(vocab)
-    none = F.lit(None).cast("double")
-    segment = "struct<text:string,start:double,end:double>"
-    first = F.struct(F.array().cast(f"array<{segment}>").alias("done"), none.alias("since"), F.lit("").alias("text"))
-
-    def step(s: Column, i: Column) -> Column:
-        time = token_to_seconds(i, special)
-        closes = time.isNotNull() & s["since"].isNotNull()
-        text = trim_space(s["text"])
-        done = F.when(closes & (text != ""), F.concat(s["done"], F.array(F.struct(text.alias("text"), s["since"].alias("start"), time.alias("end"))))).otherwise(s["done"])
-        word = F.when(i < special.start, F.coalesce(own(i), F.lit(""))).otherwise(F.lit(""))
-        return F.struct(
-            done.alias("done"),
-            F.when(time.isNull(), s["since"]).when(closes, none).otherwise(time).alias("since"),
-            F.when(closes, F.lit("")).otherwise(F.concat(s["text"], word)).alias("text"),
-        )
-
-    return F.aggregate(until_end(ids, special), first, step, lambda s: s["done"])
+    a = until_end(ids, special)
+    timed = F.transform(a, lambda i, at: F.struct(at.alias("at"), token_to_seconds(i, special).alias("t")))
+    both = F.struct(a.alias("a"), F.filter(timed, lambda x: x["t"].isNotNull()).alias("s"))
+
+    def cut(b: Column) -> Column:
+        pairs = F.floor(F.size(b["s"]) / 2).cast("int")
+
+        def segment(k: Column) -> Column:
+            first, last = F.get(b["s"], 2 * k), F.get(b["s"], 2 * k + 1)
+            begin = F.coalesce(F.get(b["s"], F.nullif(2 * k - 1, F.lit(-1)))["at"] + 1, F.lit(0))
+            words = F.transform(F.slice(b["a"], begin + 1, last["at"] - begin), lambda i: F.when(i < special.start, own(i)))
+            return F.struct(trim_space(F.array_join(F.array_compact(words), "")).alias("text"), first["t"].alias("start"), last["t"].alias("end"))
+
+        found = F.when(pairs > 0, F.transform(F.sequence(F.lit(0), pairs - 1), segment)).otherwise(F.array().cast("array<struct<text:string,start:double,end:double>>"))
+        return F.filter(found, lambda s: s["text"] != "")
+
+    return F.get(F.transform(F.array(both), cut), F.lit(0))

@@ -5,8 +5,10 @@ A stream's frames are sorted once; all windows and the grouping share that parti
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,26 @@ def speech_segments(
     return islands.select(key, "island", F.round(start, 7).alias("start"), F.round(end, 7).alias("end"), "confidence").where(F.round(F.col("end") - F.col("start"), 7) >= min_speech)
 
 
+def cut_segments(
+    probs: Sequence[float], frame_seconds: float = 0.032, threshold: float = 0.5, min_speech: float = 0.25, min_silence: float = 0.1, pad: float = 0.03,
+) -> list[tuple[int, float, float, float]]:
+    """(island, start, end, confidence) of one stream in memory: what speech_segments gives for its frames."""
+    gap, n = silence_frames(min_silence, frame_seconds), len(probs)
+    p = np.asarray(probs, float)
+    spoken = np.flatnonzero(p >= threshold)
+    if not len(spoken):
+        return []
+    cuts = np.flatnonzero(np.diff(spoken) - 1 >= gap)
+    firsts, lasts = spoken[np.concatenate([[0], cuts + 1])], spoken[np.concatenate([cuts, [len(spoken) - 1]])]
+    out = []
+    for island, (a, b) in enumerate(zip(firsts.tolist(), lasts.tolist(), strict=True), 1):
+        b = n - 1 if 1 <= n - 1 - b < gap else b
+        start, end = round(max(0.0, a * frame_seconds - pad), 7), round(min(n * frame_seconds, (b + 1) * frame_seconds + pad), 7)
+        if round(end - start, 7) >= min_speech:
+            out.append((island, start, end, float(p[a : b + 1].mean())))
+    return out
+
+
 def speech_summary(streams: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """One row for each stream, silent ones too: SegmentCount, TotalSpeechSeconds, SegmentStarts, SegmentEnds, SegmentConfidences."""
     own = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "confidence"))).alias("s"), F.sum(F.col("end") - F.col("start")).alias("t"))

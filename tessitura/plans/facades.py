@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import arrays as A
 from tessitura.functions import tokens as K
-from tessitura.functions.mel import whisper_features
+from tessitura.functions.mel import at_rate, whisper_features
 from tessitura.functions.text import PHONEMES, packed_sentences
 from tessitura.operators import segment, speech, transcripts
 from tessitura.scoring import loops
@@ -42,9 +42,15 @@ def _shared(df: DataFrame, *models: Opened | None):
     return [Shared(df.sparkSession, m) for m in models]
 
 
+SPEECH = "array<struct<island:int,start:double,end:double,confidence:double>>"
+
+
 @dataclass
 class VoiceActivity:
-    """Speech segments of signals.  ``rate`` is the model's; signals of another rate are resampled first."""
+    """Speech segments of signals.  ``rate`` is the model's; signals of another ``source_rate`` are resampled first.
+
+    A signal is scored and cut within its row: rows may share a key, and nothing is shuffled.
+    """
 
     model: Opened
     threshold: float = 0.5
@@ -53,34 +59,54 @@ class VoiceActivity:
     pad: float = 0.03
     window: int = 512
     rate: int = 16000
+    source_rate: int | None = None
+
+    def _scorer(self, df: DataFrame, source_rate: int | None) -> Callable[[np.ndarray], np.ndarray]:
+        (model,) = _shared(df, self.model)
+        rate, window, source = self.rate, self.window, source_rate or self.source_rate or self.rate
+        return lambda x: loops.speech_probabilities(model.value.session(), resample(Audio(np.asarray(x, np.float32), source), rate).samples, rate, window)[0]
 
     def probabilities(self, df: DataFrame, input: str = "Audio", output: str = "probs", source_rate: int | None = None) -> DataFrame:
         """df with the probability of speech in each full window."""
-        (model,) = _shared(df, self.model)
-        rate, window, source = self.rate, self.window, source_rate or self.rate
+        own = self._scorer(df, source_rate)
 
         @F.pandas_udf("array<float>")
         def score(signals: pd.Series) -> pd.Series:
-            session = model.value.session()
-            own = lambda x: resample(Audio(np.asarray(x, np.float32), source), rate).samples
-            return signals.map(lambda x: None if x is None else loops.speech_probabilities(session, own(x), rate, window)[0])
+            return signals.map(lambda x: None if x is None else own(x))
 
         return df.withColumn(output, score(input))
 
-    def segments(self, df: DataFrame, key: str, input: str = "Audio", **overrides) -> DataFrame:
-        """key, start, end, confidence of each segment; options may be given for this call."""
-        scored = self.probabilities(df.select(key, input), input)
-        frames = scored.select(key, F.posexplode("probs").alias("frame", "prob"))
+    def detected(self, df: DataFrame, input: str = "Audio", output: str = "speech", source_rate: int | None = None, **overrides) -> DataFrame:
+        """df with the segments of each signal, an array; options may be given for this call."""
+        own, frame = self._scorer(df, source_rate), self.window / self.rate
         options = {"threshold": self.threshold, "min_speech": self.min_speech, "min_silence": self.min_silence, "pad": self.pad} | overrides
-        return speech.speech_segments(frames, key, "frame", "prob", self.window / self.rate, **options)
 
-    def summary(self, df: DataFrame, key: str, input: str = "Audio", **overrides) -> DataFrame:
-        """df with SegmentCount, TotalSpeechSeconds, SegmentStarts, SegmentEnds and SegmentConfidences."""
-        return df.join(speech.speech_summary(df, self.segments(df, key, input, **overrides), key), key)
+        @F.pandas_udf(SPEECH)
+        def cut(signals: pd.Series) -> pd.Series:
+            return signals.map(lambda x: None if x is None else [dict(zip(("island", "start", "end", "confidence"), s, strict=True)) for s in speech.cut_segments(own(x), frame, **options)])
+
+        return df.withColumn(output, cut(input))
 
-    def chunks(self, df: DataFrame, key: str, input: str = "Audio") -> DataFrame:
-        """The samples of each segment, one row each."""
-        return speech.speech_chunks(df, self.segments(df, key, input), key, input, self.rate)
+    def segments(self, df: DataFrame, key: str, input: str = "Audio", **options) -> DataFrame:
+        """key, island, start, end, confidence of each segment, in seconds of the signal."""
+        return self.detected(df.select(key, input), input, "_s", **options).select(key, F.inline("_s"))
+
+    def summary(self, df: DataFrame, key: str | None = None, input: str = "Audio", **options) -> DataFrame:
+        """df with SegmentCount, TotalSpeechSeconds, SegmentStarts, SegmentEnds and SegmentConfidences."""
+        s = F.coalesce(F.col("_s"), F.array().cast(SPEECH))
+        part = lambda name: F.transform(s, lambda x: x[name])
+        made = self.detected(df, input, "_s", **options)
+        return made.select(
+            *(F.col(f"`{c}`") for c in df.columns), F.size(s).alias("SegmentCount"), F.aggregate(s, F.lit(0.0), lambda t, x: t + x["end"] - x["start"]).alias("TotalSpeechSeconds"),
+            part("start").alias("SegmentStarts"), part("end").alias("SegmentEnds"), part("confidence").alias("SegmentConfidences"),
+        )
+
+    def chunks(self, df: DataFrame, key: str | None = None, input: str = "Audio", source_rate: int | None = None, **options) -> DataFrame:
+        """The samples of each segment, at the rate of the signal, one row each."""
+        rate = source_rate or self.source_rate or self.rate
+        made = self.detected(df, input, "_s", source_rate, **options).select(*(F.col(f"`{c}`") for c in df.columns), F.inline("_s"))
+        first, last = F.floor(F.col("start") * rate).cast("int"), F.floor(F.col("end") * rate).cast("int")
+        return made.withColumn("content", F.slice(input, first + 1, last - first))
 
 
 @dataclass
@@ -132,6 +158,52 @@ class Whisper:
         return transcripts.response(self.transform(df, input, "text"), key).withColumn("language", F.lit(self.language).cast("string"))
 
 
+class Generator(Protocol):
+    """A runtime that makes all tokens of a clip itself: features (1, bins, frames), a prompt and options to ids."""
+
+    def generate(self, features: np.ndarray, prompt: Sequence[int], **options: Any) -> Sequence[int]: ...
+
+
+@dataclass
+class GenerativeWhisper:
+    """Recognition by a generating runtime: it has the loop, the cache and the search, and gives ids up to the end.
+
+    open: what gives a Generator on a worker, once for each process that unpickles it.
+    """
+
+    open: Callable[[], Generator]
+    vocab: dict[int, str]
+    language: str | None = None
+    translate: bool = False
+    max_length: int = 448
+    beams: int = 1
+    bins: int = 80
+    rate: int = 16000
+    special: K.SpecialTokens = field(default_factory=K.SpecialTokens)
+
+    def transform(self, df: DataFrame, input: str = "Audio", output: str = "Text") -> DataFrame:
+        """df with output (text), segments and token_ids; the ids have no prompt."""
+        me = Shared(df.sparkSession, self)
+        prompt = Whisper(None, None, {}, self.language, self.translate, special=self.special).prompt()  # type: ignore[arg-type]
+
+        @F.pandas_udf("array<int>")
+        def recognise(signals: pd.Series) -> pd.Series:
+            w = me.value
+            runtime = w.open()
+
+            def one(x):
+                audio = resample(Audio(np.asarray(x, np.float32), w.rate), 16000).samples
+                features = np.ascontiguousarray(whisper_features(audio, w.bins).T)[None]
+                ids = list(runtime.generate(features, prompt, max_length=w.max_length, num_beams=w.beams))
+                ids = ids[len(prompt) :] if ids[: len(prompt)] == prompt else ids
+                return ids[: ids.index(w.special.end)] if w.special.end in ids else ids
+
+            return signals.map(lambda x: None if x is None else one(x))
+
+        out = df.withColumn("token_ids", recognise(input))
+        return out.withColumn(output, K.whisper_decode("token_ids", self.vocab, self.special)).withColumn("segments", K.whisper_segments("token_ids", self.vocab, self.special))
+
+
 @dataclass
 class SpeechClient:
     """Recognition by a callable that takes WAV bytes: a service, or another library."""
@@ -262,6 +334,8 @@ class Codec:
     books: int = 8
     rate: int = 24000
     size: int = 1024
+    source_rate: int | None = None  # of signals to encode, if it isn't the codec's
+    channels: int = 1
 
     @classmethod
     def at(cls, kbps: float, **options) -> Codec:
@@ -275,10 +349,11 @@ class Codec:
         if self.encoder is None:
             raise ValueError("encoding needs an encoder model")
         (model,), books = _shared(df, self.encoder), self.books
+        own = lambda x, source=self.source_rate, channels=self.channels, rate=self.rate: at_rate(x, source, channels, rate)
 
         @F.pandas_udf("array<array<int>>")
         def run(signals: pd.Series) -> pd.Series:
-            return signals.map(lambda x: None if x is None else loops.codec_encode(model.value.session(), x, books).tolist())
+            return signals.map(lambda x: None if x is None else loops.codec_encode(model.value.session(), own(x), books).tolist())
 
         return df.withColumn(output, run(input))
 
@@ -344,4 +419,4 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame]) ->
     return embed(chunks)
 
 
-__all__ = ["Codec", "EspeakPhonemizer", "Kitten", "Model", "SpeechClient", "SpeechEngines", "SpeechT5", "VoiceActivity", "Whisper", "chunk_metadata", "embed_chunks", "ingest", "phonemize_chunks"]
+__all__ = ["Codec", "EspeakPhonemizer", "GenerativeWhisper", "Kitten", "Model", "SpeechClient", "SpeechEngines", "SpeechT5", "VoiceActivity", "Whisper", "chunk_metadata", "embed_chunks", "ingest", "phonemize_chunks"]

@@ -7,13 +7,15 @@ checks the columns it needs when it is given a DataFrame, not when rows are read
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessitura.functions import arrays as A
-from tessitura.functions.mel import MelOptions, mel_features
+from tessitura.functions.mel import Extractor, MelOptions, mel_features
 from tessitura.scoring.onnx import onnx_score
 from tessitura.scoring.sessions import Model, describe
 
@@ -54,14 +56,29 @@ class Apply(Stage):
 
 
 class ExtractFeatures(Stage):
-    """Samples to Features: struct<data, frames, dim>, the shape with every row."""
-
-    def __init__(self, options: MelOptions = MelOptions(), input: str = "Audio", output: str = "Features", whisper: bool = False):
+    """Samples to Features: struct<data, frames, dim>, the shape with every row.
+
+    The input is an array of samples, with the rate and channels of ``source_rate`` and
+    ``channels`` (numbers, or names of columns), or a signal as ``decode_wav`` gives it, which says them
+    itself.  It is mixed down and resampled to the rate of the options.  ``extractor`` is
+    any function of samples at that rate to rows of features, in place of the mel features.
+    """
+
+    def __init__(
+        self, options: MelOptions = MelOptions(), input: str = "Audio", output: str = "Features", whisper: bool = False,
+        source_rate: int | str | None = None, channels: int | str | None = None, extractor: Extractor | None = None,
+    ):
         super().__init__()
-        self.options, self.input, self.output, self.whisper, self.needs = options, input, output, whisper, (input,)
+        self.options, self.input, self.output, self.whisper, self.extractor = options, input, output, whisper, extractor
+        self.source_rate, self.channels = source_rate, channels
+        self.needs = (input, *(c for c in (source_rate, channels) if isinstance(c, str)))
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.output, mel_features(F.col(self.input), self.options, self.whisper))
+        own = lambda v: F.col(v) if isinstance(v, str) else v
+        samples, rate, channels = F.col(self.input), own(self.source_rate), own(self.channels)
+        if isinstance(df.schema[self.input].dataType, T.StructType):
+            samples, rate, channels = samples["samples"], samples["sample_rate"], samples["channels"]
+        return df.withColumn(self.output, mel_features(samples, self.options, self.whisper, rate, channels, self.extractor))
 
 
 class Score(Stage):
@@ -105,18 +122,38 @@ class Pool(Stage):
         return df.withColumn(self.output, (A.l2_normalize(x) if self.normalize else x).cast("array<float>"))
 
 
-def classification(model: Model, labels: Sequence[str], options: MelOptions = MelOptions(), input: str = "Audio") -> PipelineModel:
-    """Samples to PredictedLabel, Score and Probabilities."""
-    return pipeline(ExtractFeatures(options, input), Score(model), SoftmaxLabel(labels))
+def classification(model: Model, labels: Sequence[str], options: MelOptions = MelOptions(), input: str = "Audio", **source) -> PipelineModel:
+    """Samples to PredictedLabel, Score and Probabilities; source: the rate and channels of the samples, as ExtractFeatures takes them."""
+    return pipeline(ExtractFeatures(options, input, **source), Score(model), SoftmaxLabel(labels))
 
 
-def embedding(model: Model, strategy: str = "mean", normalize: bool = True, options: MelOptions = MelOptions(), input: str = "Audio", output: str = "Embedding") -> PipelineModel:
+def embedding(model: Model, strategy: str = "mean", normalize: bool = True, options: MelOptions = MelOptions(), input: str = "Audio", output: str = "Embedding", **source) -> PipelineModel:
     """Samples to an embedding."""
-    return pipeline(ExtractFeatures(options, input), Score(model), Pool(strategy, normalize, output=output))
+    return pipeline(ExtractFeatures(options, input, **source), Score(model), Pool(strategy, normalize, output=output))
 
 
 def embedding_dimension(model: Model) -> int:
     return describe(model.session()).hidden_dim
 
 
-__all__ = ["Apply", "ExtractFeatures", "MissingColumn", "Pipeline", "Pool", "Score", "SoftmaxLabel", "Stage", "classification", "embedding", "embedding_dimension", "pipeline"]
+@dataclass(frozen=True)
+class EmbeddingGenerator:
+    """Embeddings of signals for callers that know a generator and not the stages: what it is, and generate()."""
+
+    model: Model
+    model_id: str | None = None
+    strategy: str = "mean"
+    normalize: bool = True
+    options: MelOptions = MelOptions()
+
+    @property
+    def metadata(self) -> dict[str, str | int | None]:
+        return {"provider": "tessitura", "model_id": self.model_id, "dimensions": embedding_dimension(self.model)}
+
+    def generate(self, df: DataFrame, input: str = "Audio", output: str = "Embedding", **source) -> DataFrame:
+        """df with an embedding of each signal; its own columns are kept and no others added."""
+        made = embedding(self.model, self.strategy, self.normalize, self.options, input, output, **source).transform(df)
+        return made.select(*(F.col(f"`{c}`") for c in df.columns if c != output), output)
+
+
+__all__ = ["Apply", "EmbeddingGenerator", "ExtractFeatures", "MissingColumn", "Pipeline", "Pool", "Score", "SoftmaxLabel", "Stage", "classification", "embedding", "embedding_dimension", "pipeline"]

@@ -15,6 +15,7 @@ from tessitura.functions import arrays as A
 from tessitura.functions import text as X
 from tessitura.functions import tokens as K
 from tessitura.operators import ranking, segment, speech, transcripts
+from tessitura.sources.models import style_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,6 +40,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores, if it is so small that its files are in fewer splits than that; a larger one as it is read."""
+    spark = df.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n, key) if size < n * (32 << 20) else df
+
+
 def r6(c) -> F.Column:
     """Rounded as both engines print it; adds 0 to lose the sign of zero."""
     return F.round(c, 6) + F.lit(0.0)
@@ -254,14 +263,13 @@ def codec_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.lit(A.codec_vocab_size(4, 1024)).alias("vocab_size"), A.codec_frame_count(s, 24000, 320).alias("frames_24k"), A.codec_frame_count(s, 16000, 640).alias("frames_16k"))
 
 
-@query(f"""WITH {V}, n AS (SELECT max(vec_id) AS last FROM embeddings), d AS (SELECT doc_id, least(length(text), last)::BIGINT AS row_idx FROM documents, n)
+@query(rf"""WITH {V}, n AS (SELECT max(vec_id) AS last FROM embeddings), d AS (SELECT doc_id, least(length(text) + length(regexp_replace(text, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')), last)::BIGINT AS row_idx FROM documents, n)
 SELECT doc_id, row_idx, round(list_sum(v), 6) + 0.0 AS style_sum FROM d JOIN v ON v.vec_id = row_idx""")
 def style_row_lookup(spark, sf_dir):
     """The row of a voice table by the length of a text, at most the last one."""
-    styles = vectors(spark, sf_dir)
-    last = styles.agg(F.max("vec_id")).first()[0]
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.least(F.length("text").cast("long"), F.lit(last)).alias("row_idx"))
-    return docs.join(styles, docs.row_idx == styles.vec_id).select("doc_id", "row_idx", r6(A.total(F.col("v"))).alias("style_sum"))
+    styles = vectors(spark, sf_dir).select(F.col("vec_id").alias("row_idx"), "v")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return style_rows(docs, styles, X.utf16_length(F.col("text"))).select("doc_id", "row_idx", r6(A.total(F.col("v"))).alias("style_sum"))
 
 
 @query(f"""WITH {V}, c AS (SELECT vec_id, i, v[i * 16 + 1 : i * 16 + 16] AS c FROM v, range(4) t(i)),
@@ -273,9 +281,9 @@ def chunk_embed_search(spark, sf_dir):
     """Segments, an embedding of each, and those most like the first segment."""
     pieces = segment.segment_audio(vectors(spark, sf_dir), "v", 16, 1.0)
     embedded = pieces.select("vec_id", "segment_index", A.mean_pool("content", 4).alias("e"))
-    first = embedded.orderBy("vec_id", "segment_index").limit(1).collect()[0]
-    target = F.array(*(F.lit(x) for x in first.e))
-    scored = embedded.where(~((F.col("vec_id") == first.vec_id) & (F.col("segment_index") == first.segment_index)))
+    found = embedded.orderBy("vec_id", "segment_index").limit(1).collect()
+    target = F.array(*(F.lit(x) for x in found[0].e)) if found else F.array(F.lit(0.0))
+    scored = embedded.where(~((F.col("vec_id") == found[0].vec_id) & (F.col("segment_index") == found[0].segment_index))) if found else embedded
     return scored.select("vec_id", "segment_index", r6(A.cosine_similarity("e", target)).alias("similarity")).orderBy(F.desc("similarity"), "vec_id", "segment_index").limit(5)
 
 
@@ -434,7 +442,7 @@ PUNCTUATED = "CASE WHEN {0} = '' OR regexp_matches({0}, '[.!?,;:]$') THEN {0} EL
 SELECT doc_id, chunk_index, chunk_count, {PUNCTUATED.format("s")} AS content FROM x
 UNION ALL SELECT doc_id, 0, 1, {PUNCTUATED.format("text")} FROM documents JOIN p USING (doc_id) WHERE len(p) = 0""")
 def sentence_chunks(spark, sf_dir):
-    chunks = table(spark, sf_dir, "documents").select("doc_id", X.sentence_chunks("text").alias("c"))
+    chunks = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", X.sentence_chunks("text").alias("c"))
     return chunks.select("doc_id", F.size("c").alias("chunk_count"), F.posexplode("c").alias("chunk_index", "content"))
 
 
@@ -450,7 +458,7 @@ c AS (SELECT doc_id, s, chunk, arg_max(now, i) AS c FROM k GROUP BY ALL
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s, chunk) - 1)::INT AS chunk_index, {PUNCTUATED.format("c")} AS content FROM c""")
 def pack_words(spark, sf_dir):
     """Sentences of at most 80 characters, the longer ones packed by words."""
-    chunks = table(spark, sf_dir, "documents").select("doc_id", X.sentence_chunks_arrow("text", 80).alias("c"))
+    chunks = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", X.sentence_chunks_arrow("text", 80).alias("c"))
     return chunks.select("doc_id", F.posexplode("c").alias("chunk_index", "content"))
 
 
@@ -477,7 +485,7 @@ _SYMBOLS = "'" + X.PHONEMES.replace("'", "''") + "'"
 c AS (SELECT conv_id, turn, t, list_filter(list_transform(string_split(t, ''), lambda c: instr({_SYMBOLS}, c) - 1), lambda i: i >= 0) AS ids FROM n)
 SELECT conv_id, turn, len(ids)::INT AS n_ids, coalesce(list_sum(ids), 0)::BIGINT AS id_sum, coalesce(list_aggregate(list_transform(list_filter(ids, lambda i: i > 0), lambda i: substr({_SYMBOLS}, (i + 1)::INT, 1)), 'string_agg', ''), '') AS decoded FROM c""")
 def phoneme_encode(spark, sf_dir):
-    ids = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.phoneme_encode("text").alias("ids"))
+    ids = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id").select("conv_id", "turn", X.phoneme_encode("text").alias("ids"))
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
     return ids.select("conv_id", "turn", F.size("ids").alias("n_ids"), total.alias("id_sum"), X.phoneme_decode("ids").alias("decoded"))
 
@@ -492,7 +500,7 @@ def spm_char_encode(spark, sf_dir):
     used = table(spark, sf_dir, "benchmark").select(F.explode(X.characters(F.translate("text", " ", X.SPM_SPACE))).alias("c")).distinct().collect()
     vocab = {"<unk>": 0, "<s>": 1, "</s>": 2, X.SPM_SPACE: 3}
     vocab |= {c: i + 4 for i, c in enumerate(sorted({r.c for r in used} - {X.SPM_SPACE}))}
-    ids = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.spm_char_encode("text", vocab).alias("ids"))
+    ids = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id").select("conv_id", "turn", X.spm_char_encode("text", vocab).alias("ids"))
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
     return ids.select("conv_id", "turn", F.size("ids").alias("n_ids"), total.alias("id_sum"), X.spm_char_decode("ids", {v: k for k, v in vocab.items()}).alias("decoded"))
 
@@ -532,19 +540,52 @@ def dft_power(spark, sf_dir):
     return cells(vectors(spark, sf_dir), ["vec_id"], A.dft_power("v", 64), "k", "power")
 
 
-@query(f"""WITH {V}, x AS (SELECT vec_id, k, sum(v[i + 1] * cos(2 * pi() * k * i / 64)) AS re, sum(v[i + 1] * sin(2 * pi() * k * i / 64)) AS im FROM v, range(64) t(i), range(33) s(k) GROUP BY vec_id, k),
-e AS (SELECT i, 700 * (10 ** (i * 2595 * log10(1 + 8000.0::DOUBLE / 700) / 9 / 2595) - 1) AS f FROM range(10) t(i)),
+#: Log-mel bands of one frame: a Hann window, a Fourier transform by sums, triangles.  n samples at 16 kHz, m bands.
+MEL = """x AS (SELECT vec_id, k, sum(v[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / ({n} - 1))) * cos(2 * pi() * k * i / {n})) AS re,
+  sum(v[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / ({n} - 1))) * sin(2 * pi() * k * i / {n})) AS im FROM s, range({n}) t(i), range({n} // 2 + 1) u(k) GROUP BY vec_id, k),
+e AS (SELECT i, 700 * (10 ** (i * 2595 * log10(1 + 8000.0::DOUBLE / 700) / ({m} + 1) / 2595) - 1) AS f FROM range({m} + 2) t(i)),
 b AS (SELECT l.i AS bin, l.f AS lo, c.f AS ce, h.f AS hi FROM e l JOIN e c ON c.i = l.i + 1 JOIN e h ON h.i = l.i + 2),
-w AS (SELECT bin, k, greatest(0, least((k * 250 - lo) / (ce - lo), (hi - k * 250) / (hi - ce))) AS w FROM b, range(33) s(k))
-SELECT vec_id, bin::INT AS bin, round(ln(greatest(sum((re * re + im * im) * w), 1e-10)), 6) + 0.0 AS value FROM x JOIN w USING (k) GROUP BY vec_id, bin""")
+w AS (SELECT bin, k, greatest(0, least((k * 16000.0::DOUBLE / {n} - lo) / (ce - lo), (hi - k * 16000.0::DOUBLE / {n}) / (hi - ce))) AS w FROM b, range({n} // 2 + 1) u(k))
+SELECT vec_id, bin::INT AS bin, round(ln(greatest(sum((re * re + im * im) * w), 1e-10)), {r}) + 0.0 AS value FROM x JOIN w USING (k) GROUP BY vec_id, bin"""
+
+
+@query(f"WITH {V}, s AS (SELECT * FROM v), " + MEL.format(n=64, m=8, r=6))
 def mel_frame(spark, sf_dir):
     """One log-mel frame of 8 bands of each vector."""
-    from tessitura.functions.mel import MelOptions, filters
+    from tessitura.functions.mel import MelOptions, mel_features
+
+    made = spread(vectors(spark, sf_dir), "vec_id").select("vec_id", mel_features("v", MelOptions(bins=8, fft=64, hop=64, precise=True)).alias("f"))
+    return cells(made, ["vec_id"], F.col("f.data"), "bin")
+
+
+@query(f"WITH {V}, s AS (SELECT vec_id, list_transform(range(16), lambda j: ((v[4 * j + 1]::FLOAT + v[4 * j + 2]::FLOAT) / 2::FLOAT)::DOUBLE) AS v FROM v), " + MEL.format(n=16, m=4, r=6))
+def stereo_features(spark, sf_dir):
+    """Each vector as 32 frames of two channels at 32 kHz, mixed down and resampled to a model's 16 kHz by the feature stage."""
+    from tessitura.functions.mel import MelOptions
+    from tessitura.plans.stages import ExtractFeatures
+
+    df = spread(vectors(spark, sf_dir), "vec_id").select("vec_id", "v", F.lit(32000).alias("rate"), F.lit(2).alias("width"))
+    made = ExtractFeatures(MelOptions(bins=4, fft=16, hop=16, precise=True), "v", "f", source_rate="rate", channels="width").transform(df)
+    return cells(made, ["vec_id"], F.col("f.data"), "bin")
+
+
+@query("""SELECT r_regionkey, i::INT AS idx, round(sin(i * (2 * pi() / 8000 * 440)) * 0.3 + sin(i * (2 * pi() / 8000 * 880)) * 0.1, 6) + 0.0 AS tones,
+round(sin(2 * pi() * (200 + 1800 * (i / 8000.0::DOUBLE) / 0.02::DOUBLE) * (i / 8000.0::DOUBLE)) * 0.5, 6) + 0.0 AS chirp, true AS quiet FROM region, range(160) t(i)""")
+def signals(spark, sf_dir):
+    """Tones, a rising one, and noise, whose samples are bounded."""
+    both = F.arrays_zip(A.tones(160, 8000, [(440, 0.3), (880, 0.1)]).alias("tones"), A.chirp(160, 8000).alias("chirp"), A.noise(160, F.col("r_regionkey")).alias("noise"))
+    rows = table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(both).alias("idx", "s"))
+    return rows.select("r_regionkey", "idx", r6(F.col("s.tones")).alias("tones"), r6(F.col("s.chirp")).alias("chirp"), (F.abs("s.noise") <= 0.3).alias("quiet"))
+
+
+@query(f"""WITH {V}, b AS (SELECT vec_id, list_position(v, list_max(v)) - 1 AS i, v FROM v)
+SELECT vec_id, {LABEL_SQL.format("i")} AS predicted_label, len(v)::INT AS n_probabilities FROM b""")
+def classify_stage(spark, sf_dir):
+    """Scores to labels by the stage that pipelines use."""
+    from tessitura.plans.stages import SoftmaxLabel
 
-    bank = filters(MelOptions(bins=8, fft=64)).T.tolist()
-    power = vectors(spark, sf_dir).select("vec_id", A.dft_power("v", 64).alias("p"))
-    bands = F.array(*(A.total(F.zip_with("p", F.array(*(F.lit(w) for w in row)), lambda a, b: a * b)) for row in bank))
-    return cells(power, ["vec_id"], F.transform(bands, A.log_floor), "bin")
+    scores = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("Scores"))
+    return SoftmaxLabel(LABELS).transform(scores).select("vec_id", F.col("PredictedLabel").alias("predicted_label"), F.size("Probabilities").alias("n_probabilities"))
 
 
 WEIGHTS = [[(i * 7 + j * 3) % 5 - 2 for j in range(10)] for i in range(64)]

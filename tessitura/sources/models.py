@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_npy_vector(data: bytes | str) -> np.ndarray:
@@ -30,6 +31,20 @@ def voice_table(spark: SparkSession, voices: dict[str, np.ndarray]) -> DataFrame
     return spark.createDataFrame(rows, "voice string, row_idx int, style array<float>")
 
 
+def style_rows(df: DataFrame, styles: DataFrame, length: Column, row: str = "row_idx", small: int = 100_000) -> DataFrame:
+    """df with the row of a voice table styles(row, ...) that a length picks: at most the last one.
+
+    A table of up to ``small`` rows is broadcast.  Of a larger one the last row, which all
+    longer lengths share, is, and the others are joined by their number.
+    """
+    found = styles.agg(F.count(F.lit(1)).alias("n"), F.max(row).alias("last")).first()
+    picked = df.withColumn(row, F.least(length.cast("long"), F.lit(found.last).cast("long")))
+    if found.n <= small:
+        return picked.join(F.broadcast(styles), row)
+    top = picked.where(F.col(row) == found.last).join(F.broadcast(styles.where(F.col(row) == found.last)), row)
+    return top.unionByName(picked.where(F.col(row) < found.last).join(styles, row))
+
+
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -93,3 +108,40 @@ def read_spm_model(data: bytes) -> SentencePieceModel:
     if not model.pieces:
         raise ValueError("the model has no pieces")
     return model
+
+
+class SentencePieceTokenizer:
+    """Text to ids and back by the model's own type: a character model here, any other one by the sentencepiece library.
+
+    Pickles as the bytes of the model.
+    """
+
+    def __init__(self, data: bytes):
+        self.data, self.model = data, read_spm_model(data)
+        self._library = None
+
+    def __reduce__(self):
+        return SentencePieceTokenizer, (self.data,)
+
+    def library(self):
+        if self._library is None:
+            import sentencepiece
+
+            self._library = sentencepiece.SentencePieceProcessor(model_proto=self.data)
+        return self._library
+
+    def encode(self, text: str, most: int | None = None) -> list[int]:
+        if self.model.is_char:
+            vocab, unknown = self.model.vocab, self.model.unknown
+            ids = [vocab.get(c, unknown) for c in "\u2581" + text.replace(" ", "\u2581")]
+        else:
+            ids = list(self.library().encode(text))
+        return ids if most is None else ids[:most]
+
+    def decode(self, ids: list[int]) -> str:
+        if not self.model.is_char:
+            return self.library().decode([int(i) for i in ids])
+        pieces = [self.model.pieces[i] for i in ids if 0 <= i < len(self.model.pieces)]
+        return "".join(t for t, _, kind in pieces if kind == 1).replace("\u2581", " ").removeprefix(" ")
+
+    __call__ = encode
