@@ -350,14 +350,27 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to a table of its own in the shared folder and read again.
 
     This cuts the lineage: the files outlive every executor.  Tables of a session are
-    removed by whoever clears the shared folder, as with checkpoints.
+    removed by whoever clears the shared folder, as with checkpoints.  Spark removes the shuffle
+    files of what nothing refers to any more when the driver's memory is collected, so that is
+    asked for: else those of all steps of a long job stay on the executors' disks.  The session
+    holds on to its last query, hence the small one before.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessitura-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.range(1).count()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of a kept table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager)

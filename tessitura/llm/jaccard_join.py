@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.blocks import PACKED, buckets_for, chunks, exchange, gather, join_by_count, kept, mix, runs, scatter, sorted_sets, tokenise
+from tessitura.llm.blocks import PACKED, buckets_for, chunks, exchange, forget, gather, join_by_count, kept, mix, runs, scatter, sorted_sets, tokenise
 from tessitura.llm.components import connected_components, forest
 
 U = np.uint64
@@ -444,6 +444,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10)
     parts = buckets_for(docs)
     order = spark.sparkContext.broadcast(size_classes(sketch(docs, k)))
     signed = kept(signatures(docs, k, num, den, order), "signatures")
+    slim = kept(signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")), "sets")
     classes = signed.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix_id").alias("prefix_id")
     )
@@ -470,7 +471,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10)
     units = candidate_units(placed, num, den, parts).groupBy("gid", "part").agg(F.collect_list(F.struct("family", "i", "j", "side")).alias("units"))
     expanded = keyed.select("node", "rep", "set_id", "copies", "n", "prefix_id").join(groups.select("n", "prefix_id", "gid", "members"), ["n", "prefix_id"]).withColumn("part", part("node"))
     candidates = expanded.join(units, ["gid", "part"]).select("node", "rep", "set_id", "copies", "gid", "units")
-    found = kept(verified(kept(candidates, "candidates"), docs, k, num, den, order, parts), "links")
+    candidates = kept(candidates, "candidates")
+    forget(signed)  # prefixes are most of what is kept
+    found = kept(verified(candidates, docs, k, num, den, order, parts), "links")
+    forget(candidates)
     components = connected_components(found.where("b is not null").select("a", "b"))
     # the smallest id of a component
     linked = kept(components.join(classes.select("node", "rep"), "node"), "components")
@@ -481,8 +485,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10)
         classes.select("set_id", "rep", "copies", "node").join(own, "node", "left").join(counts, "node", "left")
         .select("set_id", "copies", F.coalesce("lowest", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
-    return with_classes(rows, by_class, signed.count()).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return with_classes(slim, by_class, slim.count()).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
