@@ -136,6 +136,74 @@ def test_classification_and_embedding(spark):
     assert not describe(fixed.session()).pooled and describe(Model(tiny.matmul(w)).session()).pooled
 
 
+def test_features_of_any_signal(spark):
+    from tessitura.sources.wav import Audio, resample, to_mono
+
+    rng = np.random.default_rng(3)
+    o = MelOptions(bins=8)
+    rows = [(i, rng.normal(size=9000 + i).astype(np.float32).tolist(), rate, width) for i, (rate, width) in enumerate([(44100, 2), (16000, 1), (8000, 2), (48000, 1)])]
+    df = spark.createDataFrame(rows, "id int, Audio array<float>, rate int, width int")
+    for stage, data in (
+        (S.ExtractFeatures(o, source_rate="rate", channels="width"), df),
+        (S.ExtractFeatures(o, "a"), df.withColumn("a", F.struct(F.col("Audio").alias("samples"), F.col("rate").alias("sample_rate"), F.col("width").alias("channels")))),
+    ):
+        for r in stage.transform(data).collect():
+            m = mel_spectrogram(resample(to_mono(Audio(np.array(r.Audio, np.float32), r.rate, r.width)), 16000).samples, o)
+            assert r.Features.frames == len(m) and np.allclose(np.array(r.Features.data).reshape(m.shape), m, atol=1e-4)
+    own = S.ExtractFeatures(o, extractor=lambda x: np.abs(x[:6]).reshape(3, 2).astype(np.float32)).transform(df).first()
+    assert (own.Features.frames, own.Features.dim) == (3, 2)
+    with pytest.raises(S.MissingColumn):
+        S.ExtractFeatures(source_rate="nowhere").transform(df)
+
+
+def test_embedding_generator(spark):
+    rng = np.random.default_rng(1)
+    model = Model(tiny.frame_matmul(rng.normal(size=(8, 3))))
+    df = spark.createDataFrame([(1, rng.normal(size=900).tolist())], "id int, Audio array<float>")
+    g = S.EmbeddingGenerator(model, "toy", options=MelOptions(bins=8))
+    out = g.generate(df, source_rate=8000)
+    assert g.metadata["dimensions"] == 3 and out.columns == ["id", "Audio", "Embedding"] and np.isclose(np.linalg.norm(out.first().Embedding), 1, atol=1e-5)
+
+
+def test_speech_within_rows(spark):
+    from tessitura.operators import speech
+
+    rng = np.random.default_rng(5)
+    streams = [np.repeat(rng.random(30) < 0.5, rng.integers(1, 9, 30)) * 0.8 + rng.random() * 0.1 for _ in range(20)] + [np.zeros(0), np.ones(3), np.ones(9)]
+    frames = spark.createDataFrame([(k, i, float(p)) for k, x in enumerate(streams) for i, p in enumerate(x)], "key int, frame int, prob double")
+    by_windows = {}
+    for r in speech.speech_segments(frames, "key", "frame", "prob").collect():
+        by_windows.setdefault(r.key, []).append((r.island, r.start, r.end, round(r.confidence, 9)))
+    for k, x in enumerate(streams):
+        assert [(a, b, c, round(d, 9)) for a, b, c, d in speech.cut_segments(x)] == sorted(by_windows.get(k, []))
+    # rows of one key stay apart, and times are those of the signal at its own rate
+    loud, quiet = [0.9] * 16 * 20, [0.0] * 16 * 20
+    df = spark.createDataFrame([(1, quiet + loud + quiet), (1, quiet + loud)], "id int, Audio array<float>")
+    vad = P.VoiceActivity(Model(tiny.recurrent(16)), window=16, rate=500)
+    assert sorted(r.SegmentCount for r in vad.summary(df).collect()) == [1, 1] and vad.segments(df, "id").count() == 2
+    double = df.select("id", F.flatten(F.transform("Audio", lambda x: F.array(x, x))).alias("Audio"))
+    fast = P.VoiceActivity(Model(tiny.recurrent(16)), window=16, rate=500, source_rate=1000)
+    assert sorted(len(r.content) for r in fast.chunks(double).collect()) == sorted(int(r.end * 1000) - int(r.start * 1000) for r in vad.segments(df, "id").collect())
+
+
+def test_generating_recogniser(spark):
+    class Runtime:
+        def generate(self, features, prompt, **options):
+            assert features.shape == (1, 80, 3000) and options["max_length"] == 448
+            return [*prompt, *SCRIPT, 9]
+
+    df = spark.createDataFrame([(1, [0.1] * 800), (2, None)], "id int, Audio array<float>")
+    w = P.GenerativeWhisper(Runtime, {5: " a", 6: "b", 7: " c", 8: " d"}, language="en")
+    out = {r.id: r for r in w.transform(df).collect()}
+    assert out[1].Text == " ab c d" and out[1].token_ids == SCRIPT[:-1] and out[2].token_ids is None
+    # text goes on to embeddings, and to speech
+    kit = Fake([], [Tensor("w", ["n"])], lambda x: {"w": x["input_ids"][0].astype(np.float32)})
+    said = P.Kitten(kit, {"Jasper": np.ones((3, 2))}, trim=0).transform(w.transform(df.where("id = 1")), "Text", "Speech").first()
+    assert len(said.Speech) > 4
+    embedded = P.embed_chunks(w.transform(df.where("id = 1")).withColumnRenamed("Text", "content"), lambda d: d.withColumn("embedding", F.array(F.length("content").cast("float"))))
+    assert embedded.first().embedding == [7.0]
+
+
 def test_missing_column_and_labels(spark):
     with pytest.raises(S.MissingColumn):
         S.ExtractFeatures().transform(spark.range(1))
@@ -180,6 +248,9 @@ def test_codec(spark):
     assert codec.decode(made, output="back").first().back == [1.0, 3.0] and codec.hop == 320
     with pytest.raises(ValueError):
         P.Codec().encode(df)
+    # two channels at twice the rate: a mean, and every second sample
+    wide = spark.createDataFrame([([1.0, 3.0, 0.0, 0.0, 4.0, 4.0, 0.0, 0.0] * 2,)], "Audio array<float>")
+    assert P.Codec(enc, dec, books=1, source_rate=48000, channels=2).encode(wide).first().codes == [[2, 2]]
 
 
 def test_client_and_phonemes(spark):

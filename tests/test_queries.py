@@ -33,3 +33,11 @@ def test_query(spark, sf, duck, name):
 def test_flagship_plan(spark, sf):
     plan = QUERIES[FLAGSHIP](spark, sf)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
+
+
+def test_no_rows(spark, sf, tmp_path):
+    """Queries that look at rows on the driver do so on empty tables as well."""
+    for t in TABLES:
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name in ("chunk_embed_search", "similarity_topk", "style_row_lookup", "spm_char_encode", "whisper_segments", "sentence_chunks"):
+        assert QUERIES[name](spark, str(tmp_path)).collect() == []

@@ -90,3 +90,30 @@ def test_mel():
     assert len(mel.whisper_chunks(np.zeros(480001))) == 2 and len(mel.whisper_chunks(np.zeros(0))) == 0
     with pytest.raises(ValueError):
         mel.whisper_chunks(x, overlap_frames=3000)
+
+
+def test_tokenizers_by_type():
+    import pickle
+
+    import public_tokenizers
+
+    from tessitura.sources.models import SentencePieceTokenizer
+
+    piece = lambda t, kind=1: b"\x0a" + bytes([len(b := b"\x0a" + bytes([len(t.encode())]) + t.encode() + b"\x18" + bytes([kind])), *b])
+    chars = b"".join([piece("<unk>", 2), piece("\u2581"), piece("a"), piece("b"), b"\x12\x02\x18\x04"])
+    t = pickle.loads(pickle.dumps(SentencePieceTokenizer(chars)))
+    assert t.encode("ab z") == [1, 2, 3, 1, 0] and t.decode([1, 2, 3, 1, 0, 99]) == "ab " and t("ab", 2) == [1, 2]
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        t = SentencePieceTokenizer(f.read())
+    assert not t.model.is_char and t.decode(t.encode("Speech to text, and back.")) == "Speech to text, and back."
+
+
+def test_style_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tessitura.sources.models import style_rows
+
+    styles = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "row_idx int, style array<float>")
+    df = spark.createDataFrame([(i,) for i in range(9)], "n int")
+    for small in (100, 2):
+        assert sorted((r.n, r.style[0]) for r in style_rows(df, styles, F.col("n"), small=small).collect()) == [(i, float(min(i, 4))) for i in range(9)]
