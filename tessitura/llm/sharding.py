@@ -96,3 +96,16 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: str = "shard") -> D
 def op9_shard(spark, sf_dir: str) -> DataFrame:
     placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384::BIGINT)) ORDER BY n) AS t FROM range(256) t(n)),
+h AS (SELECT doc_id, source, encode(coalesce(text, '')) AS raw FROM documents),
+b AS (SELECT doc_id, source, octet_length(raw) + 1 AS size,
+             xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) AS crc FROM h, t),
+u AS (SELECT *, ('0x' || substr(md5(concat_ws('|', 'shard', coalesce(doc_id::VARCHAR, ''), size, crc)), 1, 13))::BIGINT AS u FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY u, doc_id, size, crc) AS r, count(*) OVER (PARTITION BY source) AS m, count(*) OVER () AS n FROM u),
+p AS (SELECT *, row_number() OVER (ORDER BY (r - 0.5::DOUBLE) / m, source IS NULL, encode(coalesce(source, '')), r) - 1 AS place FROM r),
+q AS (SELECT *, place * 16 // n AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (place - (shard * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM q
+"""

@@ -542,3 +542,15 @@ def remove_repeats(found: DataFrame, texts: bool = True) -> DataFrame:
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")), texts=False)
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+a AS (SELECT doc_id, list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' ')) AS v FROM d WHERE len(w) >= 20),
+v AS (SELECT doc_id, unnest(v) AS v, generate_subscripts(v, 1) AS i FROM a),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY v ORDER BY doc_id, i) AS nth FROM v),
+x AS (SELECT DISTINCT doc_id, i + unnest(range(20)) AS i FROM o WHERE nth > 1),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+j AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM k ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)
+"""
