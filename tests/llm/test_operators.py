@@ -648,17 +648,28 @@ def test_op10(spark, small, rows):
     assert len(got) == len(rows)
     again = run(spark, "op10_mix_sources", small)
     assert sorted(map(str, got)) == sorted(map(str, again))
-    # each source comes as near to its target as the best of the draws
-    from tessitura.llm.mixing import SEEDS
+    # every cell, from the longest texts on, takes the draw that a plain loop finds
+    from tessitura.llm.mixing import CELLS, DRAWS
 
+    number = lambda d: int(hashlib.md5(f"mix|{'' if d is None else d}".encode()).hexdigest()[:13], 16)
+    expected = collections.Counter()
     for s in names:
-        target = 3 * sizes[s] if s in cut else share[s]
-        rate = target / sizes[s] if sizes[s] else 0
-        off = []
-        for k in range(SEEDS):
-            u = lambda d: int(hashlib.md5(f"mix|{'' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52
-            off.append(abs(sum(len(words(r[1])) * (int(rate) + ((u(r[0]) + k / SEEDS) % 1 < rate - int(rate))) for r in rows if r[3] == s) - target))
-        assert math.isclose(abs(taken[s] - target), min(off), abs_tol=1e-6)
+        rate = (3 * sizes[s] if s in cut else share[s]) / sizes[s] if sizes[s] else 0.0
+        part, off, left = rate - math.floor(rate), 0.0, sizes[s]
+        cells = collections.defaultdict(list)
+        for r in rows:
+            if r[3] == s:
+                cells[len(f"{len((r[1] or '').encode()):b}") * CELLS + number(r[0]) % CELLS].append((r[0], len(words(r[1])), number(r[0]) / 2**52))
+        for _, own in sorted(cells.items(), reverse=True):
+            left -= sum(n for _, n, _ in own)
+            found = []
+            for k in range(DRAWS):
+                copies = [math.floor(rate) + ((u + k / DRAWS) % 1 < part) for _, _, u in own]
+                d = off + (sum(n * (c - math.floor(rate)) for (_, n, _), c in zip(own, copies, strict=True)) - part * sum(n for _, n, _ in own))
+                found.append((max(0.0, d - part * left, -d - (1 - part) * left), abs(d), k, d, copies))
+            _, _, _, off, copies = min(found)
+            expected.update((i, n, n * c) for (i, n, _), c in zip(own, copies, strict=True))
+    assert collections.Counter((r.doc_id, r["size"], r.taken) for r in got) == expected
 
 
 def test_op10_near_targets(spark):
