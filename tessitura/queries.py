@@ -588,6 +588,65 @@ def classify_stage(spark, sf_dir):
     return SoftmaxLabel(LABELS).transform(scores).select("vec_id", F.col("PredictedLabel").alias("predicted_label"), F.size("Probabilities").alias("n_probabilities"))
 
 
+WAV_KINDS = ((8, 1), (16, 1), (24, 1), (32, 3))
+
+
+@query("""WITH x AS (SELECT vec_id, embedding AS v FROM embeddings),
+s AS (SELECT vec_id, 8 AS bits, [(floor(y * 100) + 128 - 128)::DOUBLE / 128 FOR y IN v] AS v FROM x
+UNION ALL SELECT vec_id, 16, [floor(y * 100) / 32767 FOR y IN v] FROM x UNION ALL SELECT vec_id, 24, [floor(y * 100) * 256 / 8388608 FOR y IN v] FROM x
+UNION ALL SELECT vec_id, 32, [floor(y * 100) / 128 FOR y IN v] FROM x)
+SELECT vec_id, bits::INT AS bits, i::INT AS idx, round((v[2 * i + 1] + v[2 * i + 2]) / 2, 6) + 0.0 AS value FROM s, range(32) t(i)""")
+def wav_formats(spark, sf_dir):
+    """Each vector as a stereo file of every sample format, mixed down as it is read."""
+    from tessitura.sources.wav import decode_wav
+
+    def little(x, n: int):
+        """Hex digits of the n low bytes of a number, the lowest first."""
+        return F.concat(*(F.lpad(F.hex(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n)))
+
+    def file(bits: int, kind: int):
+        step = {8: lambda x: x + 128, 16: lambda x: x, 24: lambda x: x * 256}
+
+        def sample(x):
+            whole = F.floor(x * 100).cast("long")
+            if kind == 1:
+                return little(step[bits](whole), bits // 8)
+            # a power of two below its size, and what is left over it, make the bits of a single
+            size = F.abs(whole)
+            power = F.length(F.bin(size)) - 1
+            made = (F.when(whole < 0, F.lit(1 << 31)).otherwise(F.lit(0)).cast("long") + (power + F.lit(127 - 7)).cast("long") * (1 << 23) + (size * F.lit(1 << 23) / F.pow(F.lit(2.0), power)).cast("long") - (1 << 23))
+            return little(F.when(whole == 0, F.lit(0).cast("long")).otherwise(made), 4)
+
+        n = bits // 8
+        head = b"WAVEfmt " + (16).to_bytes(4, "little") + b"".join(v.to_bytes(w, "little") for v, w in ((kind, 2), (2, 2), (16000, 4), (32000 * n, 4), (2 * n, 2), (bits, 2))) + b"data" + (64 * n).to_bytes(4, "little")
+        return F.unhex(F.concat(F.lit((b"RIFF" + (len(head) + 64 * n).to_bytes(4, "little") + head).hex()), F.array_join(F.transform("embedding", sample), "")))
+
+    files = F.explode(F.array(*(F.struct(F.lit(bits).alias("bits"), file(bits, kind).alias("content")) for bits, kind in WAV_KINDS))).alias("w")
+    audio = table(spark, sf_dir, "embeddings").select("vec_id", files).select("vec_id", "w.bits", decode_wav("w.content").alias("a"))
+    return cells(audio, ["vec_id", "bits"], F.col("a.samples"), "idx")
+
+
+@query("""SELECT vec_id, len(embedding) / 16000.0::DOUBLE AS seconds, 8::INT AS frames, 8::INT AS dim, 1::INT AS one_frame, len(embedding)::INT AS one_dim, 64::INT AS flat FROM embeddings""")
+def duration_shape(spark, sf_dir):
+    """Seconds of each vector, the shape that a model's input makes of it, and the size of its rows put together again."""
+    df = table(spark, sf_dir, "embeddings")
+    shape, plain = A.infer_shape("embedding", (1, -1, 8)), A.infer_shape("embedding", (-1, -1))
+    flat = F.size(A.flatten_rows(A.rows_of("embedding", 8)))
+    return df.select("vec_id", A.duration("embedding", 16000).alias("seconds"), shape["frames"].alias("frames"), shape["dim"].alias("dim"), plain["frames"].alias("one_frame"), plain["dim"].alias("one_dim"), flat.alias("flat"))
+
+
+@query(f"""WITH {V}, p AS (SELECT vec_id, [list_avg([v[f * 8 + j + 1] FOR f IN range(8)]) FOR j IN range(8)] AS p FROM v),
+n AS (SELECT vec_id, p, sqrt(list_sum([x * x FOR x IN p])) AS n FROM p)
+SELECT vec_id, j::INT AS idx, round((p[j + 1] / n)::FLOAT::DOUBLE, 6) + 0.0 AS value FROM n, range(8) t(j)""")
+def embed_stage(spark, sf_dir):
+    """Hidden states to embeddings of length one by the stage that pipelines use."""
+    from tessitura.plans.stages import Pool
+
+    states = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("Scores"))
+    made = Pool("mean", True, hidden=8).transform(states)
+    return cells(made, ["vec_id"], "Embedding")
+
+
 WEIGHTS = [[(i * 7 + j * 3) % 5 - 2 for j in range(10)] for i in range(64)]
 
 
@@ -604,6 +663,25 @@ def onnx_matmul_score(spark, sf_dir):
     return scored.select("vec_id", F.posexplode("Scores").alias("idx", "score")).withColumn("score", F.col("score").cast("double") + F.lit(0.0))
 
 
+@query(f"""WITH {V}, y AS (SELECT vec_id, j, sum(floor(v[i + 1] * 256) / 256 * ((i * 7 + j * 3) % 5 - 2)) AS y FROM v, range(64) t(i), range(10) s(j) GROUP BY vec_id, j),
+b AS (SELECT vec_id, arg_max(j, (y, -j)) AS j FROM y GROUP BY vec_id)
+SELECT vec_id, 'label_' || j AS predicted_label, CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS branch FROM b""")
+def pipeline_branches(spark, sf_dir):
+    """A composed pipeline: features, a branch for each half of the rows and their union, a model, its labels."""
+    from tessitura.plans import stages
+    from tessitura.scoring.sessions import Model
+    from tessitura.scoring.tiny import matmul
+
+    def branches(df: DataFrame) -> DataFrame:
+        even = df.where("vec_id % 2 = 0").withColumn("branch", F.lit("even"))
+        return even.unionByName(df.where("vec_id % 2 <> 0").withColumn("branch", F.lit("odd")))
+
+    exact = F.transform("v", lambda x: (F.floor(x * 256) / 256).cast("float"))
+    features = stages.Apply(lambda df: df.select("vec_id", F.struct(exact.alias("data"), F.lit(1).alias("frames"), F.lit(64).alias("dim")).alias("Features")), "v")
+    made = stages.pipeline(features, stages.Apply(branches, "vec_id"), stages.Score(Model(matmul(WEIGHTS))), stages.SoftmaxLabel(LABELS))
+    return made.transform(vectors(spark, sf_dir)).select("vec_id", F.col("PredictedLabel").alias("predicted_label"), "branch")
+
+
 @query(f"""WITH RECURSIVE {V}, m AS (SELECT vec_id, i, list_sum(list_transform(v[i * 16 + 1 : i * 16 + 16], lambda x: abs(x))) / 16 AS m FROM v, range(4) t(i)),
 s AS (SELECT vec_id, 0 AS frame, m AS c FROM m WHERE i = 0 UNION ALL SELECT s.vec_id, s.frame + 1, s.c / 2 + m.m FROM s JOIN m ON m.vec_id = s.vec_id AND m.i = s.frame + 1)
 SELECT vec_id, frame::INT AS frame, round(c / (c + 1), 4) AS prob FROM s""")
