@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  Its result is written as Parquet
 and read again as the docs of the next one.  All but the last return the columns of
 documents; the last one returns the place of every row.
+
+Defined results: a document whose text is null or has no letter goes in the first stage, one without a doc_id is
+linked with none in the second and so stays there.  A doc_id with several texts stays in the second stage with all of them if one
+is the first of its group; of equal rows one stays.  Texts of any length are read as a whole.  Columns besides those that a
+stage reads go through all stages but the last.  Without documents the result is empty; without test items none is dropped.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ aggregated stays a table, with one row for each source, and one for each cell in
 
 Defined results: a null text has size 0 and a text of any length is counted as a whole; null is a
 source of its own, the last; a source without words has rate 0; a null doc_id hashes like the empty
-text; rows that repeat a doc_id get equal copies; an empty table gives an empty result.  Columns of
+text; rows that repeat a doc_id have one hash, and equal copies if source and cell are equal too; an empty table gives an empty result.  Columns of
 the input keep their names, and those added are looked up by names that no input has.
 """
 

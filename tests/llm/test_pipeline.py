@@ -63,3 +63,9 @@ def test_run(spark, small):
     assert {"doc_id", "shard", "slot"} <= set(out.columns)
     counts = [r["count"] for r in out.groupBy("shard").count().collect()]
     assert counts and max(counts) - min(counts) <= 1
+
+
+def test_no_rows(spark, small, empty):
+    assert corpus_pipeline.run(spark, empty).collect() == []
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert ids(dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, empty)) == ids(docs)
