@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.blocks import PACKED, buckets_for, chunks, exchange, forget, gather, join_by_count, kept, mix, runs, scatter, sorted_sets, tokenise
+from tessitura.llm.blocks import PACKED, buckets_for, chunks, exchange, forget, gather, join_by_count, kept, lean, mix, runs, scatter, small_batches, sorted_sets, tokenise
 from tessitura.llm.components import connected_components, forest
 
 U = np.uint64
@@ -59,6 +59,7 @@ BLOCK = 1024  # classes in a block of a family
 SPREAD, SMALL_BLOCK = 16, 128  # a smaller family has blocks of SMALL_BLOCK, SPREAD of them at most
 BLOCK_GRAMS = 1_000_000  # n-grams in a block of a family
 SLICE = 2048  # n-grams in a slice of the matrix product
+BUCKET_BYTES = 4 << 20  # of the planner's size in a bucket of prefix n-grams; a task has one
 
 
 def ceil_share(n, num: int, den: int):
@@ -110,7 +111,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     out = np.zeros((slices, SKETCH_SLICE), U)
     # 8 MB, whatever the corpus
-    for r in docs.select("text").mapInArrow(count, PACKED).repartition(16, "bucket").mapInArrow(add, PACKED).collect():
+    for r in docs.select("text").mapInArrow(lean(count), PACKED).repartition(16, "bucket").mapInArrow(lean(add), PACKED).collect():
         out[r.bucket] = np.frombuffer(r.payload, U)
     return out.ravel()
 
@@ -151,7 +152,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, classes) -> DataFram
                 ["doc_id", "n", "set_id", "prefix_id", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, set_id binary, prefix_id binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(sign), "doc_id long, n long, set_id binary, prefix_id binary, prefix binary")
 
 
 def shared_grams(groups: DataFrame, n: int) -> DataFrame:
@@ -203,7 +204,7 @@ def shared_grams(groups: DataFrame, n: int) -> DataFrame:
         if use.any():
             yield scatter(x["gid"][use].view(U), {c: v[use] for c, v in x.items()}, n)
 
-    return exchange(groups.select("gid", "n", "prefix").mapInArrow(post, f"kind int, {PACKED}"), n, meet, PACKED)
+    return exchange(groups.select("gid", "n", "prefix").mapInArrow(lean(post), f"kind int, {PACKED}"), n, lean(meet), PACKED, direct=True)
 
 
 def family_links(shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -222,7 +223,7 @@ def family_links(shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
         keep = (have >= need) & (place <= have - need + 1)
         yield pa.RecordBatch.from_arrays([pa.array(gid[keep]), pa.array(-(token[keep] >> U(1)).astype(np.int64) - 1)], ["a", "b"])
 
-    return exchange(shared, n, link, "a long, b long")
+    return exchange(shared, n, lean(link), "a long, b long", direct=True)
 
 
 def count_overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -322,6 +323,8 @@ def verify_unit(rows: dict[str, list], num: int, den: int) -> tuple[np.ndarray,
 
 
 UNIT = "family long, i int, j int, side int"
+SENT = pa.schema([("family", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("gid", pa.int64()), ("grams", pa.binary())])
+SENT_BYTES = 4 << 20  # of sets in a batch for the units
 
 
 def block_of(gid: np.ndarray, part: np.ndarray, blocks: np.ndarray) -> np.ndarray:
@@ -392,8 +395,8 @@ def candidate_units(groups: DataFrame, num: int, den: int, parts: int) -> DataFr
             ["gid", "part", "family", "i", "j", "side"],
         )
 
-    placed = groups.select("gid", "part", "n", "members", "family", "blocks", "prefix").mapInArrow(place, f"{UNIT}, gid long, part long, n long, members long, prefix binary")
-    return placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(by_unit(filter_pairs), f"gid long, part long, {UNIT}")
+    placed = groups.select("gid", "part", "n", "members", "family", "blocks", "prefix").mapInArrow(lean(place), f"{UNIT}, gid long, part long, n long, members long, prefix binary")
+    return placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lean(by_unit(filter_pairs)), f"gid long, part long, {UNIT}")
 
 
 def verified(classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, order, parts: int) -> DataFrame:
@@ -403,8 +406,9 @@ def verified(classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, or
         for batch in chunks(batches):
             bounds, keys = ordered_sets(batch, k, order.value)
             prints = fingerprints(bounds, keys)
-            out: dict[str, list] = {c: [] for c in ("family", "i", "j", "side", "node", "copies", "gid", "grams")}
+            out: dict[str, list] = {c: [] for c in SENT.names}
             _, *rest = (batch.column(c).to_pylist() for c in ("text", "node", "set_id", "copies", "gid", "units"))
+            held = 0
             for at, (node, set_id, copies, gid, units) in enumerate(zip(*rest, strict=True)):
                 if prints[at] != set_id:  # another text of the same id
                     continue
@@ -412,8 +416,12 @@ def verified(classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, or
                 for u in units:
                     for c, v in zip(out, (u["family"], u["i"], u["j"], u["side"], node, copies, gid, grams), strict=True):
                         out[c].append(v)
+                    held += len(grams)
+                    if held > SENT_BYTES:  # a set goes to as many units as its family has blocks
+                        yield pa.RecordBatch.from_pydict(out, SENT)
+                        out, held = {c: [] for c in SENT.names}, 0
             if out["node"]:
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("family", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("gid", pa.int64()), ("grams", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, SENT)
 
     def done(key: tuple[int, int, int], rows: dict[str, list]) -> pa.RecordBatch:
         a, b, who, many = verify_unit(rows, num, den)
@@ -425,9 +433,9 @@ def verified(classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, or
     placed = (
         docs.select("doc_id", "text").join(classes.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
         .select("text", "node", "set_id", "copies", "gid", "units")
-        .mapInArrow(place, f"{UNIT}, node long, copies long, gid long, grams binary")
+        .mapInArrow(lean(place), f"{UNIT}, node long, copies long, gid long, grams binary")
     )
-    return placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(by_unit(done), "a long, b long, links long")
+    return placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lean(by_unit(done)), "a long, b long, links long")
 
 
 def with_classes(signed: DataFrame, by_class: DataFrame, n: int) -> DataFrame:
@@ -439,9 +447,14 @@ def with_classes(signed: DataFrame, by_class: DataFrame, n: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id, n_links: one row for each row of docs."""
+    with small_batches(docs.sparkSession):
+        return _jaccard_components(docs, k, num, den)
+
+
+def _jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = buckets_for(docs)
+    parts = buckets_for(docs, BUCKET_BYTES)
     order = spark.sparkContext.broadcast(size_classes(sketch(docs, k)))
     signed = kept(signatures(docs, k, num, den, order), "signatures")
     slim = kept(signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")), "sets")
