@@ -8,7 +8,7 @@ from tessitura.llm.blocks import BATCH_BYTES, exchange, lean, small_batches
 
 
 def test_a_bucket_a_task(spark):
-    """Buckets that hash to one partition would meet in one task: five of 300, in each of whose tasks there is memory for one."""
+    """Buckets that hash to one partition would meet in one task, where there is memory for one."""
 
     def count(batches):
         found = [b for batch in batches for b in batch.column(0).to_pylist()]
