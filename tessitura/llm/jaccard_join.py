@@ -44,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,22 +227,30 @@ def family_links(shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return exchange(shared, n, lean(link), "a long, b long", direct=True)
 
 
+def places_of(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, place in common) of each n-gram that is there, by place; one side at a time, since its arrays are as large as the sets."""
+    if not len(common):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    grams = np.concatenate(sets)
+    place = np.searchsorted(common, grams)
+    known = common[np.minimum(place, len(common) - 1)] == grams
+    del grams
+    place = place[known].astype(np.int32)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[known]
+    order = np.argsort(place, kind="stable")
+    return row[order], place[order]
+
+
 def count_overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """The sizes of all intersections, by a matrix product over slices of the n-grams that both sides have."""
-    a, b = np.concatenate(left), np.concatenate(right)
     if left is right:
-        common, times = np.unique(a, return_counts=True)
+        common, times = np.unique(np.concatenate(left), return_counts=True)
         common = common[times > 1]
     else:
-        common = np.intersect1d(a, b)
+        common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
     out = np.zeros((len(left), len(right)), np.float32)
-    ra, rb = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
-    ca, cb = np.searchsorted(common, a), np.searchsorted(common, b)
-    ina = common[np.minimum(ca, len(common) - 1)] == a if len(common) else np.zeros(len(a), bool)
-    inb = common[np.minimum(cb, len(common) - 1)] == b if len(common) else np.zeros(len(b), bool)
-    ra, ca, rb, cb = ra[ina], ca[ina], rb[inb], cb[inb]
-    oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
-    ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
+    ra, ca = places_of(left, common)
+    rb, cb = (ra, ca) if left is right else places_of(right, common)
     for at in range(0, len(common), SLICE):
         p, q = np.zeros((len(left), SLICE), np.float32), np.zeros((len(right), SLICE), np.float32)
         i, j = np.searchsorted(ca, [at, at + SLICE])
@@ -339,6 +348,32 @@ def units_of(own: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, dict[str,
     return which, {"i": np.minimum(mine, other), "j": np.maximum(mine, other), "side": (mine > other).astype(np.int64)}
 
 
+def pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Where to cut items of these sizes so that a piece has ``most``, or one item."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def place_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups with their prefixes in each unit where they meet others, in batches of SENT_BYTES: a prefix goes to as many units as its family has blocks."""
+    for batch in batches:
+        gid, part, n, members, family, blocks = (batch.column(c).to_numpy().astype(np.int64) for c in range(6))
+        row = pc.binary_length(batch.column(6)).to_numpy(zero_copy_only=False).astype(np.int64) + 52  # and the columns beside it
+        own = block_of(gid, part, blocks)
+        for begin, end in pieces(row * blocks, SENT_BYTES):
+            all_, places = units_of(own[begin:end], blocks[begin:end])
+            all_ += begin
+            for a, b in pieces(row[all_], SENT_BYTES):  # more than one if a group alone is beyond it
+                which = all_[a:b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(family[which]), *(pa.array(places[c][a:b], pa.int32()) for c in ("i", "j", "side")), *(pa.array(x[which]) for x in (gid, part, n, members)), batch.column(6).take(pa.array(which))],
+                    ["family", "i", "j", "side", "gid", "part", "n", "members", "prefix"],
+                )
+
+
 def by_unit(f):
     """Rows in order of (family, i, j), the first columns, to f(columns of a unit), unit by unit."""
 
@@ -367,15 +402,6 @@ def by_unit(f):
 def candidate_units(groups: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """groups(gid, part, n, members, family, blocks, prefix) to gid, part, family, i, j and side: where a group has one that it may link to, or members of its own to compare."""
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gid, part, n, members, family, blocks = (batch.column(c).to_numpy().astype(np.int64) for c in range(6))
-            which, at = units_of(block_of(gid, part, blocks), blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(family[which]), *(pa.array(at[c], pa.int32()) for c in ("i", "j", "side")), *(pa.array(x[which]) for x in (gid, part, n, members)), batch.column(6).take(pa.array(which))],
-                ["family", "i", "j", "side", "gid", "part", "n", "members", "prefix"],
-            )
-
     def filter_pairs(key: tuple[int, int, int], rows: dict[str, list]) -> pa.RecordBatch:
         x = np.array([rows[c] for c in ("gid", "part", "side", "n", "members")], np.int64)
         x, first = np.unique(x, axis=1, return_index=True)  # rows that repeat a document have its prefix again
@@ -395,7 +421,7 @@ def candidate_units(groups: DataFrame, num: int, den: int, parts: int) -> DataFr
             ["gid", "part", "family", "i", "j", "side"],
         )
 
-    placed = groups.select("gid", "part", "n", "members", "family", "blocks", "prefix").mapInArrow(lean(place), f"{UNIT}, gid long, part long, n long, members long, prefix binary")
+    placed = groups.select("gid", "part", "n", "members", "family", "blocks", "prefix").mapInArrow(lean(place_groups), f"{UNIT}, gid long, part long, n long, members long, prefix binary")
     return placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lean(by_unit(filter_pairs)), f"gid long, part long, {UNIT}")
 
 

@@ -1,5 +1,7 @@
 """What tasks of op1 hold at once."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -56,3 +58,33 @@ def test_sets_are_sent_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SENT_BYTES", 5000)
     assert whole == sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()))
     assert {r[2] for r in whole} == {0} and {r[3] for r in whole} == {59}
+
+
+def test_groups_are_sent_in_pieces():
+    """A prefix goes to as many units as its family has blocks; no batch is as large as all of them together."""
+    n, blocks, rng = 600, 40, np.random.default_rng(4)
+    prefixes = [rng.bytes(8 * int(k)) for k in rng.integers(1, 500, n - 1)] + [rng.bytes(800_000)]
+    columns = {"gid": range(n), "part": [0] * n, "n": [9] * n, "members": [1] * n, "family": [-5] * n, "blocks": [blocks] * (n - 1) + [1], "prefix": prefixes}
+    batch = pa.RecordBatch.from_pydict({c: list(v) for c, v in columns.items()})
+    got = list(jaccard_join.place_groups(iter([batch.slice(0, 0), batch])))
+    assert max(b.nbytes for b in got) < 1.1 * jaccard_join.SENT_BYTES < sum(b.nbytes for b in got) / 8
+    rows = pa.Table.from_batches(got)
+    own = jaccard_join.block_of(np.arange(n), np.zeros(n, np.int64), np.array(columns["blocks"])).tolist()
+    wanted = [(g, *sorted((own[g], o)), int(own[g] > o), p) for g, p in enumerate(prefixes) for o in range(columns["blocks"][g])]
+    assert sorted(zip(*(rows[c].to_pylist() for c in ("gid", "i", "j", "side", "prefix")), strict=True)) == sorted(wanted)
+    assert set(rows["n"].to_pylist()) == {9} and set(rows["family"].to_pylist()) == {-5}
+
+
+def test_overlaps_hold_one_side():
+    """Counts of two blocks of sets, with less than six times the sets of a side held besides."""
+    rng = np.random.default_rng(6)
+    left, right = ([np.unique(rng.integers(0, 10**6, 5000).astype(np.uint64)) for _ in range(100)] for _ in range(2))
+    tracemalloc.start()
+    both = jaccard_join.count_overlaps(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * 8 * 100 * 5000
+    wanted = [[len(np.intersect1d(x, y)) for y in right[:9]] for x in left[:9]]
+    assert both[:9, :9].tolist() == wanted
+    none = [np.zeros(0, np.uint64)] * 2
+    assert jaccard_join.count_overlaps(none, right[:3]).tolist() == [[0] * 3] * 2 and jaccard_join.count_overlaps(left[:1], [left[0] + np.uint64(10**7)]).tolist() == [[0]]
